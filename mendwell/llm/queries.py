@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cluster import table
-from . import hidden_duplicates
+from . import hidden_duplicates, tokenizing
 
 _P1 = (("complaints", "complaint_id", "query"), ("siis_responses", "siis_id", "original_query"))
 
@@ -41,3 +41,10 @@ SQL = {
     "p1_records": f"""WITH {_CANON} SELECT source_table, first_id, min(text) FILTER (WHERE key = first_id) AS text,
         count(*) AS n_copies, count(DISTINCT text) AS n_spellings FROM marked GROUP BY source_table, c, first_id""",
 }
+
+
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenizing.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES["p6_ids"] = p6_ids
