@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cluster import table
-from . import hidden_duplicates, tokenizing
+from . import hidden_duplicates, leakage, tokenizing
 
 _P1 = (("complaints", "complaint_id", "query"), ("siis_responses", "siis_id", "original_query"))
 
@@ -48,3 +48,10 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["p6_ids"] = p6_ids
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.find(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+QUERIES["p7_found"] = p7_found
