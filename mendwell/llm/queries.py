@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cluster import table
-from . import hidden_duplicates, leakage, tokenizing
+from . import hidden_duplicates, leakage, markup, tokenizing
 
 _P1 = (("complaints", "complaint_id", "query"), ("siis_responses", "siis_id", "original_query"))
 
@@ -55,3 +55,14 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["p7_found"] = p7_found
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.found(table(spark, sf_dir, "siis_responses"), "siis_id", "content")
+
+
+def p2_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.texts(table(spark, sf_dir, "siis_responses"), "siis_id", "content")
+
+
+QUERIES |= {"p2_found": p2_found, "p2_texts": p2_texts}
