@@ -203,7 +203,7 @@ def elements(text: str | None) -> list[tuple[list[str], str, int]]:
             payload = _payload(source, m.group(1))
             return f"\n```\n{payload}\n```\n" if m.group(1) == _CODE else f"${payload}$"
 
-        shown = re.sub(r"[ \t\u00a0]+", " ", shown).strip(" {}" if kind == "latex" and marks[:1] == ["heading"] else " \n").strip()
+        shown = re.sub(r"[ \t\u00a0]+", " ", shown).strip(" {}\n" if kind == "latex" and marks[:1] == ["heading"] else " \n")
         shown = _HELD.sub(back, shown).strip("\n")
         if marks[:1] == ["heading"]:
             shown = "# " + shown

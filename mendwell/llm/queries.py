@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cluster import table
-from . import hidden_duplicates, leakage, markup, tokenizing
+from . import hidden_duplicates, leakage, markup, pairs, tokenizing
 
 _P1 = (("complaints", "complaint_id", "query"), ("siis_responses", "siis_id", "original_query"))
 
@@ -66,3 +66,10 @@ def p2_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"p2_found": p2_found, "p2_texts": p2_texts}
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.defects(table(spark, sf_dir, "siis_responses"), "siis_id", "original_query", "content")
+
+
+QUERIES["p5_found"] = p5_found
