@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cluster import table
-from . import hidden_duplicates, leakage, markup, pairs, tokenizing
+from ..operators import nested
+from . import entries, hidden_duplicates, leakage, markup, pairs, tokenizing
 
 _P1 = (("complaints", "complaint_id", "query"), ("siis_responses", "siis_id", "original_query"))
 
@@ -73,3 +74,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["p5_found"] = p5_found
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = nested.flat_tables(table(spark, sf_dir, "results"), "result_id", "response")["step"]
+    led = entries.resolve(steps, "step", table(spark, sf_dir, "deeplinks"))
+    return led.select("result_id", "context_no", "action_no", "group_no", "step_no", "link_id")
+
+
+QUERIES["p4_found"] = p4_found
