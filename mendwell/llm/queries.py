@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..cluster import table
 from ..operators import nested
-from . import entries, hidden_duplicates, leakage, markup, pairs, tokenizing
+from . import entries, hidden_duplicates, leakage, markup, pairs, subjects, tokenizing
 
 _P1 = (("complaints", "complaint_id", "query"), ("siis_responses", "siis_id", "original_query"))
 
@@ -83,3 +83,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["p4_found"] = p4_found
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.assign(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "labels"), table(spark, sf_dir, "subjects"))
+
+
+QUERIES["p8_found"] = p8_found
