@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from . import queries as project
+from . import text_queries
+
+PARTS = (project, text_queries)
 
 
 def queries() -> dict[str, project.Query]:
-    return dict(project.QUERIES)
+    return {k: q for part in PARTS for k, q in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(project.SQL)
+    return {k: q for part in PARTS for k, q in part.SQL.items()}
