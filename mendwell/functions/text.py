@@ -231,11 +231,14 @@ def benefit(heading: str, body: str, out: str = "benefit") -> list[Stage]:
     ]
 
 
-def clean_step(d: Spark, x: str) -> str:
+def step(source: str, out: str = "step") -> list[Stage]:
     """A step without bullets and number, closed and capitalised; empty where nothing is left."""
-    s = squeeze(d, d.replace(d.replace(scrub(d, x), r"^[\s\-*•·]+"), r"^\d+[.)]\s*"))
-    s = f"CASE WHEN {s} = '' OR {d.matches(s, r'[.!?]$')} THEN {s} ELSE {d.concat(s, d.lit('.'))} END"
-    return s
+    return [
+        (f"{out}_scrubbed", lambda d: scrub(d, source)),
+        (f"{out}_bare", lambda d: squeeze(d, d.replace(d.replace(f"{out}_scrubbed", r"^[\s\-*•·]+"), r"^\d+[.)]\s*"))),
+        (f"{out}_closed", lambda d: f"CASE WHEN {out}_bare = '' OR {d.matches(f'{out}_bare', '[.!?]$')} THEN {out}_bare ELSE {d.concat(f'{out}_bare', d.lit('.'))} END"),
+        (out, lambda d: cap(d, f"{out}_closed")),
+    ]
 
 
 # ------------------------------------------------------------------ rules
