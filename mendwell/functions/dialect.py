@@ -89,6 +89,9 @@ class Spark:
         """The values of xs that others don't have, whatever their case."""
         return f"filter({xs}, e -> NOT array_contains(transform({others}, y -> lower(y)), lower(e)))"
 
+    def reverse(self, xs: str) -> str:
+        return f"reverse({xs})"
+
     def flatten(self, xs: str) -> str:
         return f"flatten({xs})"
 
@@ -162,6 +165,9 @@ class Checker(Spark):
     def lacking(self, xs: str, others: str) -> str:
         return f"list_filter({xs}, lambda e: NOT list_contains(list_transform({others}, lambda y: lower(y)), lower(e)))"
 
+    def reverse(self, xs: str) -> str:
+        return f"list_reverse({xs})"
+
     def has(self, xs: str, x: str) -> str:
         return f"list_contains({xs}, {x})"
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..cluster import table
 from ..operators import nested
+from .plan_sql import PLANS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,3 +30,17 @@ QUERIES: dict[str, Query] = {
     "p3_steps": _flat("step"),
 }
 SQL: dict[str, str] = {}
+
+
+def _rows(kind: str, of: str, *ordinals: str) -> str:
+    every = ("context_no", "action_no", "group_no", "step_no")
+    return f"SELECT result_id, '{kind}' AS node_kind, {', '.join(x if x in ordinals else f'-1 AS {x}' for x in every)} FROM {of}"
+
+
+SQL["p3_found"] = PLANS + " " + " UNION ALL ".join([
+    _rows("goal", "goals", "context_no"), _rows("action", "acts", "context_no", "action_no"),
+    _rows("group", "grps", "context_no", "action_no", "group_no"), _rows("step", "stps", "context_no", "action_no", "group_no", "step_no"),
+])
+SQL["p3_steps"] = PLANS + " SELECT result_id, context_no, action_no, group_no, step_no, v->>'$' AS step FROM stps"
+SQL["p3_goals"] = PLANS + " SELECT result_id, context_no, v->>'$.goal' AS goal, v->>'$.title' AS title, v->>'$.score' AS score FROM goals"
+SQL["p3_actions"] = PLANS + " SELECT result_id, context_no, action_no, coalesce(v->>'$.actionName', v->>'$.action_name') AS \"actionName\", v->>'$.description' AS description, v->>'$.category' AS category FROM acts"
