@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from . import queries as project
-from . import cache_queries, extraction_queries, plan_queries, retrieval_queries, text_queries
+from . import cache_queries, extraction_queries, metrics_queries, plan_queries, retrieval_queries, text_queries
 
-PARTS = (project, text_queries, extraction_queries, retrieval_queries, cache_queries, plan_queries)
+PARTS = (project, text_queries, extraction_queries, retrieval_queries, cache_queries, plan_queries, metrics_queries)
 
 
 def queries() -> dict[str, project.Query]:
