@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..cluster import table
+from ..cluster import spread, table
 from ..functions import constants as C
 from ..functions import text as T
 from ..functions.dialect import sql
@@ -16,7 +16,7 @@ def _records(spark, sf_dir):
 
 
 def _complaints(spark, sf_dir):
-    return table(spark, sf_dir, "complaints")
+    return spread(table(spark, sf_dir, "complaints").select("complaint_id", "query"))
 
 
 def _keys(spark, sf_dir):

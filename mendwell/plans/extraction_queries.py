@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..cluster import table
+from ..cluster import spread, table
 from ..functions import constants as C
 from ..functions import text as T
 from ..functions.dialect import Checker, sql
@@ -48,7 +48,7 @@ actions AS (SELECT siis_id, section_no, action_name, description, category, n_st
 
 
 def _articles(spark, sf_dir):
-    return table(spark, sf_dir, "siis_responses")
+    return spread(table(spark, sf_dir, "siis_responses").select("siis_id", "original_query", "title", "content"))
 
 
 def sections(spark, sf_dir):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..cluster import table
+from ..cluster import spread, table
 from ..functions import text as T
 from ..functions.dialect import Checker, Spark, Stage, frame, sql
 
@@ -17,7 +17,7 @@ def register(name: str, source: str, columns: str, stages: list[Stage], out: dic
     show = lambda d: [f"{x(d) if callable(x) else x} AS {alias}" for alias, x in out.items()]
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return frame(table(spark, sf_dir, source).selectExpr(*columns.split(", ")), stages).selectExpr(*show(Spark()))
+        return frame(spread(table(spark, sf_dir, source).selectExpr(*columns.split(", "))), stages).selectExpr(*show(Spark()))
 
     QUERIES[name] = query
     SQL[name] = f"SELECT {', '.join(show(Checker()))} FROM {sql(f'(SELECT {columns} FROM {source})', stages)}"

@@ -56,7 +56,8 @@ def complaints(spark: SparkSession, path: str) -> DataFrame:
 
 def records(spark: SparkSession, path: str) -> DataFrame:
     """Batch records, one JSON object a line; unreadable lines and missing files give nothing."""
-    return _or_empty(spark, lambda: spark.read.schema(RECORD + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(path).filter("_bad IS NULL").drop("_bad"), RECORD)
+    parsed = F.from_json("value", RECORD + ", _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    return _or_empty(spark, lambda: spark.read.text(path).select(parsed.alias("r")).select("r.*").filter("_bad IS NULL").drop("_bad"), RECORD)
 
 
 def write_records(df: DataFrame, path: str) -> None:
