@@ -49,7 +49,7 @@ def name(step: Column) -> Column:
     s = F.regexp_replace(_plain(step), r"^(?:please |kindly |then |now |next |make sure to |be sure to |you can )+|(?: please| for me)+$", "")
     s = F.regexp_replace(s, r"[\s.!?;:,]+$", "")
     path = F.when(s.rlike(r"^(?:go to |open |navigate to )?settings ?[>/]"), F.regexp_replace(F.element_at(F.split(s, "[>/]"), -1), "^ +", ""))
-    then = F.when(s.rlike(r"^from (?:the )?settings.* then "), F.regexp_extract(s, r"^.* then (?:tap |open |choose )?(.*)$", 1))
+    then = F.when(s.rlike(r"^from (?:the )?settings.* then "), F.regexp_extract(s, r"^.* then (?:tap on |open |choose )?(.*)$", 1))
     toggled = F.regexp_extract(s, r"^(?:switch|turn|set|toggle|put) (?:on |off )?(.*?)(?: to)?(?: on| off)?$", 1)
     asked = F.regexp_extract(s, r"^(?:open up|open|go to|navigate to|tap on|tap|look up|search for|find|visit|show|view|enable|disable|activate|deactivate|select|choose) (.*)$", 1)
     body = F.coalesce(path, then, F.when(toggled != "", toggled), F.when(asked != "", asked), F.lit(""))
@@ -59,7 +59,7 @@ def name(step: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Words of a name; an abbreviating stop stays with its word."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}.]+|\.(?=\.)|(?<![\p{L}])\.|\.$", " "), " +"), lambda t: t != "")
+    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}.]+|\.(?=\.)|(?<![\p{L}])\.", " "), " +"), lambda t: t != "")
 
 
 def catalog_names(catalog: DataFrame) -> DataFrame:
@@ -119,7 +119,7 @@ def resolve(steps: DataFrame, step: str, catalog: DataFrame) -> DataFrame:
     total = names.agg(F.count("*").alias("n_names"))
     weight = holds.groupBy("word").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).select("word", F.log(1 + F.col("n_names") / F.col("df")).alias("idf"))  # one row of totals
     rarest = F.log(1 + 2 * F.col("n_names"))
-    norms = index.join(weight, "word").groupBy("name").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("name_norm"))
+    norms = index.join(weight, "word").groupBy("name").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("name_norm"), F.countDistinct("word").alias("n_words"))
     joined = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.struct(F.concat(F.get("words", i - 1), F.get("words", i)).alias("word"), F.array(F.get("words", i - 1), F.get("words", i)).alias("parts")))
     pairs = names.filter(F.size("words") > 1).select(F.explode(joined).alias("p")).select("p.word", "p.parts").distinct()
     singles = weight.select("word", F.array("word").alias("parts"))
@@ -133,11 +133,11 @@ def resolve(steps: DataFrame, step: str, catalog: DataFrame) -> DataFrame:
     meets = words.join(holds, "word").groupBy("said", "name", "at", "word").agg(F.max("similarity").alias("similarity"))
     best = meets.join(weight, "word").select("said", "name", "at", "word", "similarity", "idf")
     score = best.withColumn("rank", F.row_number().over(Window.partitionBy("said", "name", "word").orderBy(F.col("similarity").desc(), "at"))).filter("rank = 1")
-    met = score.groupBy("said", "name").agg(F.sum(F.col("similarity") * F.col("idf") * F.col("idf")).alias("dot"), F.sum(F.col("idf") * F.col("idf")).alias("mass"), F.countDistinct("at").alias("used"))
+    met = score.groupBy("said", "name").agg(F.sum(F.col("similarity") * F.col("idf") * F.col("idf")).alias("dot"), F.sum(F.col("idf") * F.col("idf")).alias("mass"), F.countDistinct("at").alias("used"), F.count("*").alias("held"))
     sizes = said.groupBy("said").agg(F.count("*").alias("n"))
     ranked = met.join(norms, "name").join(sizes, "said").crossJoin(F.broadcast(total)).withColumn(
         "score", F.col("dot") / (F.col("name_norm") * F.sqrt(F.col("mass") + (F.col("n") - F.col("used")) * rarest * rarest / 4))
-    ).filter(F.col("score") >= ACCEPT)
+    ).filter((F.col("score") >= ACCEPT) & (F.col("n_words") - F.col("held") <= F.col("n") - F.col("used")))  # a word of the name is missing only where a strange one stands for it
     led = ranked.join(read, "said").join(entries, ["name", "effect"])
     top = led.withColumn("rank", F.row_number().over(Window.partitionBy("typed").orderBy(F.round("score", 9).desc(), "link_id"))).filter("rank = 1").select(F.col("typed").alias(step), "link_id")
     return steps.join(top, step, "left").withColumn("link_id", F.coalesce("link_id", F.lit(0).cast("bigint")))

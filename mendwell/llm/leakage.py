@@ -86,6 +86,21 @@ def distance(pattern: list, text: list) -> int:
     return best
 
 
+def holds(item: list, start: int, text: list) -> bool:
+    """Whether the text holds a stretch of the item from here on that begins and ends with a word in common.
+
+    Its ends are in common if it costs nothing to have them. A quote of fewer words isn't stretched to 30 by
+    counting words it never had at its ends as left out.
+    """
+    if distance(item[start + 1 : start + STRETCH - 1], text) > EDITS:
+        return False
+    for n in range(STRETCH, min(STRETCH + EDITS, len(item) - start) + 1):
+        edits = distance(item[start : start + n], text)
+        if edits <= n // 10 and edits == distance(item[start + 1 : start + n - 1], text):
+            return True
+    return False
+
+
 class Index:
     """The items' windows under the sampled steps of every walk."""
 
@@ -186,7 +201,7 @@ def leaks(docs: list[list[str]], index: Index) -> list[list[int]]:
             item, text = index.lines[n], lines[d]
             for w in np.flatnonzero(good).tolist():
                 a = w + q * NEAR
-                if distance(item[w : w + STRETCH], text[max(0, a - 2 * NEAR) : max(0, a + STRETCH + 3 * NEAR)]) <= EDITS:
+                if holds(item, w, text[max(0, a - 2 * NEAR) : max(0, a + STRETCH + 3 * NEAR)]):
                     done.add((d, n))
                     found[d].append(n)
                     break

@@ -51,7 +51,7 @@ def sentences(text: str) -> list[list[str]]:
         text = html.unescape(_TAG.sub(" ", text))
     if not text.isascii():
         text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
-    text = re.sub(r"\n\s*>?\s*(?=[a-z])", " ", text)  # wrapped lines go on with a small letter
+    text = re.sub(r"\n\s*>?\s*(?=[a-z])(?!\w+:\s)", " ", text)  # wrapped lines go on with a small letter
     out = []
     for s in re.split(r"(?<=[.!?])\s+|\n+", text.replace("’", "'")):
         words = ["0" if any(c.isdigit() for c in w) else w for w in _WORD.findall(re.sub(r"^\s*\w+:\s+(?=\S)", "", s).lower() if re.match(r"\s*[a-z]+:\s", s) else s.lower())]
