@@ -3,7 +3,7 @@
 Two documents are similar by what they say: they are linked through the sentences, and these through the pairs of neighbouring
 words, that they share. The graph is kept in this factored form (document - sentence - phrase), whose edges grow with
 the text, where linking documents directly would grow with its square. A link is verified in each round: a phrase
-carries a subject only if most of its mass, over all documents that have one so far, is of that subject, so that phrases of
+carries a subject only if it is said at least as often there as in all other subjects together, over all documents that have one so far, so that phrases of
 no subject (courtesies, times, devices) link nothing. Each round is a few equi-joins and sums:
 
     documents -> sentences -> phrases: mass by subject; trusted seeds keep their labels in every round (clamped), other
@@ -34,12 +34,15 @@ from ..cluster import cut, spread
 
 #: Rounds of propagation; share of a document's sentences that makes a subject.
 ROUNDS, SHARE = 4, 0.25
-#: A phrase carries a subject if it has so much of the phrase's mass, after so much mass of the whole corpus was mixed in.
+#: A phrase carries a subject if it has so much of the phrase's rate over the subjects (mass by the subject's whole mass, so that small
+#: subjects aren't swallowed by large ones that they go with), after so much mass of the whole corpus was mixed in.
 PURE, MIXED = 0.5, 1.0
-#: A sentence's subject leads with this evidence (natural logarithm of odds against the corpus), and so many times the next.
-LEADS, TIMES = 1.5, 1.5
+#: A sentence's subject leads with this evidence (natural logarithm of odds against chance), and so many times the next.
+LEADS, TIMES = 3.0, 1.5
 #: Subjects, which are held in the plan, at most.
 SUBJECTS = 500
+#: Sentences of no subject that every document is taken to have besides, so that one doubtful sentence tells little of it.
+DOUBT = 2.0
 
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _TAG = re.compile(r"<[/!]?[A-Za-z][^<>]*>")
@@ -101,10 +104,12 @@ def assign(docs: DataFrame, key: str, text: str, labels: DataFrame, subjects: Da
         mass = given.groupBy("sentence", "s").agg(F.sum("share").alias("m"))
         by_phrase = phrases.join(mass, "sentence").groupBy("phrase", "s").agg(F.sum("m").alias("m"))
         overall = by_phrase.groupBy("s").agg(F.sum("m").alias("all_s"))  # one row a subject
-        overall = overall.withColumn("prior", F.col("all_s") / F.sum("all_s").over(Window.partitionBy(F.lit(1))))
-        whole = by_phrase.groupBy("phrase").agg(F.sum("m").alias("total"), F.max(F.struct("m", -F.col("s"))).alias("top"))
-        pure = whole.select("phrase", (-F.col("top.col2")).alias("s"), F.col("top.m").alias("m"), "total").join(F.broadcast(overall), "s")
-        pure = pure.withColumn("p", (F.col("m") + MIXED * F.col("prior")) / (F.col("total") + MIXED)).filter(F.col("p") >= PURE).select("phrase", "s", F.log(F.col("p") / F.col("prior")).alias("w"))
+        whole = Window.partitionBy(F.lit(1))
+        overall = overall.withColumn("base", MIXED / F.sum("all_s").over(whole)).withColumn("k", F.count("*").over(whole))
+        rates = by_phrase.join(F.broadcast(overall), "s").withColumn("rate", F.col("m") / F.col("all_s"))
+        top = rates.groupBy("phrase").agg(F.max(F.struct("rate", -F.col("s"))).alias("top"), F.sum("rate").alias("every"), F.first("base").alias("base"), F.first("k").alias("k"))
+        p = (F.col("top.rate") + F.col("base")) / (F.col("every") + F.col("k") * F.col("base"))
+        pure = top.withColumn("p", p).filter(F.col("p") >= PURE).select("phrase", (-F.col("top.col2")).alias("s"), F.log(F.col("p") * F.col("k")).alias("w"))
         # up: the subject of each sentence, and the shares of each document
         evidence = phrases.join(pure, "phrase").groupBy("sentence", "s").agg(F.sum("w").alias("w"))
         best = evidence.groupBy("sentence").agg(F.max(F.struct("w", -F.col("s"))).alias("top"), F.sum("w").alias("every"))
@@ -113,7 +118,8 @@ def assign(docs: DataFrame, key: str, text: str, labels: DataFrame, subjects: Da
         counts = edges.join(leads, "sentence").groupBy("doc", "s").agg(F.sum("n").alias("n"))
         found = counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("doc")))
         if i + 1 < rounds:
-            own = found.join(seeds.select("doc").distinct(), "doc", "left_anti").filter(F.col("share") >= SHARE).select("doc", "s", "share")
+            sure = F.col("n") / (F.sum("n").over(Window.partitionBy("doc")) + DOUBT)
+            own = found.withColumn("sure", sure).join(seeds.select("doc").distinct(), "doc", "left_anti").filter(F.col("share") >= SHARE).select("doc", "s", F.col("sure").alias("share"))
             shares = cut(seeds.unionByName(own))
     named = F.element_at(F.array(*(F.lit(x) for x in names)), F.col("s") + 1)
     return found.filter(F.col("share") >= SHARE).select(F.col("doc").alias(key), named.alias("subject"))
