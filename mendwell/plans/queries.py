@@ -42,5 +42,14 @@ SQL["p3_found"] = PLANS + " " + " UNION ALL ".join([
     _rows("group", "grps", "context_no", "action_no", "group_no"), _rows("step", "stps", "context_no", "action_no", "group_no", "step_no"),
 ])
 SQL["p3_steps"] = PLANS + " SELECT result_id, context_no, action_no, group_no, step_no, v->>'$' AS step FROM stps"
+_LINKS = {"validationDeeplink": ("deeplink", "key", "resultType", "condition", "value"), "actionableDeeplink": ("deeplink", "description", "message", "originalType")}
+_SNAKE = {"validationDeeplink": "validation_deeplink", "actionableDeeplink": "actionable_deeplink", "resultType": "result_type", "originalType": "original_type"}
+
+
+def _either(x: str, key: str, op: str) -> str:
+    return f"coalesce({x}{op}'$.{key}', {x}{op}'$.{_SNAKE[key]}')" if key in _SNAKE else f"({x}{op}'$.{key}')"
+
+
+SQL["p3_groups"] = PLANS + " SELECT result_id, context_no, action_no, group_no, " + ", ".join(f'{_either(_either("v", link, "->"), x, "->>")} AS "{link}_{x}"' for link, xs in _LINKS.items() for x in xs) + " FROM grps"
 SQL["p3_goals"] = PLANS + " SELECT result_id, context_no, v->>'$.goal' AS goal, v->>'$.title' AS title, v->>'$.score' AS score FROM goals"
 SQL["p3_actions"] = PLANS + " SELECT result_id, context_no, action_no, coalesce(v->>'$.actionName', v->>'$.action_name') AS \"actionName\", v->>'$.description' AS description, v->>'$.category' AS category FROM acts"

@@ -168,7 +168,18 @@ def ablation(spark, sf_dir):
     return both[0].unionByName(both[1]).groupBy("mode", "decision").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (term_freq, doc_freq, avg_doc_len, bm25_topk, hybrid_topk, keyword_mode_topk, gram_buckets, dense_cosine, screen_trail, resolve_screen, resolve_screen_keyword, map_deeplinks, map_report, ablation)}
+def embedding_cosine_topk(spark, sf_dir):
+    """The five nearest other vectors by cosine; the queries are the vectors whose id is divisible by 20, the index all of them."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("at", "x"))
+    w = e.withColumn("x", F.col("x").cast("double")).groupBy("vec_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    unit = e.join(w, "vec_id").select("vec_id", "at", (F.col("x") / F.col("norm")).alias("x"))
+    asked = unit.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), "at", F.col("x").alias("y"))
+    near = asked.join(unit, "at").filter("q <> vec_id").groupBy("q", "vec_id").agg(R.rounded(F.sum(F.col("x") * F.col("y"))).alias("cosine"))
+    rank = F.row_number().over(R.Window.partitionBy("q").orderBy(F.col("cosine").desc(), "vec_id"))
+    return near.withColumn("rank", rank.cast("bigint")).filter("rank <= 5")
+
+
+QUERIES = {f.__name__: f for f in (embedding_cosine_topk, term_freq, doc_freq, avg_doc_len, bm25_topk, hybrid_topk, keyword_mode_topk, gram_buckets, dense_cosine, screen_trail, resolve_screen, resolve_screen_keyword, map_deeplinks, map_report, ablation)}
 
 _GROUPS = f"""{PLANS},
 groups AS (SELECT concat_ws('-', s.result_id, s.context_no, s.action_no, s.group_no) AS gid, s.steps, a.v->>'$.actionName' AS name1, a.v->>'$.action_name' AS name2, a.v->>'$.category' AS category
@@ -203,6 +214,8 @@ decided AS (SELECT *, CASE WHEN coalesce(category, 'manual') = 'manual' THEN 'ma
 
 _TOP = f"SELECT q, doc_id, {', '.join(f'{_R6.format(x)} AS {x}' for x in ('score', 'keyword', 'dense', 'coverage'))}, rank FROM ranked"
 SQL = {
+    "embedding_cosine_topk": f"""WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) AS dim, unnest(embedding)::double AS x FROM embeddings), w AS (SELECT vec_id, sqrt(sum(x * x)) AS norm FROM e GROUP BY 1), u AS (SELECT vec_id, dim, x / norm AS x FROM e JOIN w USING (vec_id)),
+      near AS (SELECT a.vec_id AS q, b.vec_id, {_R6.format('sum(a.x * b.x)')} AS cosine FROM u a JOIN u b USING (dim) WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, vec_id) AS rank FROM near QUALIFY rank <= 5""",
     "term_freq": f"WITH {_index('documents', 'doc_id')} SELECT doc_id, term, tf FROM posts",
     "doc_freq": f"WITH {_index('documents', 'doc_id')} SELECT * FROM freq",
     "avg_doc_len": f"WITH {_index('documents', 'doc_id')} SELECT n_docs, {_R6.format('avg_len')} AS avg_len FROM tot",
