@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..cluster import cut
+
 #: Least soft TF-IDF of an accepted name.
 ACCEPT = 0.71
 #: Similarity of an abbreviation to its word.
@@ -112,7 +114,7 @@ def repaired(typed: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 def resolve(steps: DataFrame, step: str, catalog: DataFrame) -> DataFrame:
     """The steps with the id of the entry each leads to (link_id, 0 for none)."""
-    entries = catalog_names(catalog)
+    entries = cut(catalog_names(catalog))  # a few names for each entry, read by many joins
     names = entries.select("name").distinct().withColumn("words", tokens(F.col("name")))
     index = names.select("name", F.posexplode("words").alias("at", "word"))
     holds = index.select("name", "word").distinct()
@@ -126,9 +128,9 @@ def resolve(steps: DataFrame, step: str, catalog: DataFrame) -> DataFrame:
     vocabulary = singles.unionByName(pairs)
 
     distinct = steps.select(F.col(step).alias("typed")).filter(F.col("typed").isNotNull()).groupBy("typed").agg(F.count("*").alias("n_rows")).drop("n_rows")
-    read = distinct.select("typed", effect(F.col("typed")).alias("effect"), name(F.col("typed")).alias("said"))
+    read = cut(distinct.select("typed", effect(F.col("typed")).alias("effect"), name(F.col("typed")).alias("said")))
     said = read.select("said").distinct().select("said", F.posexplode(tokens(F.col("said"))).alias("at", "token"))
-    fixed = repaired(said.select("token").distinct(), vocabulary.select("word").distinct())
+    fixed = cut(repaired(said.select("token").distinct(), vocabulary.select("word").distinct()))
     words = said.join(fixed, "token").join(vocabulary, "word").select("said", "at", F.explode("parts").alias("word"), "similarity")
     meets = words.join(holds, "word").groupBy("said", "name", "at", "word").agg(F.max("similarity").alias("similarity"))
     best = meets.join(weight, "word").select("said", "name", "at", "word", "similarity", "idf")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..cluster import table
+from ..cluster import cut, table
 from ..operators import nested
 from . import entries, hidden_duplicates, leakage, markup, pairs, subjects, tokenizing
 
@@ -77,7 +77,7 @@ QUERIES["p5_found"] = p5_found
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = nested.flat_tables(table(spark, sf_dir, "results"), "result_id", "response")["step"]
+    steps = cut(nested.flat_tables(table(spark, sf_dir, "results"), "result_id", "response")["step"])  # read twice
     led = entries.resolve(steps, "step", table(spark, sf_dir, "deeplinks"))
     return led.select("result_id", "context_no", "action_no", "group_no", "step_no", "link_id")
 
