@@ -85,7 +85,11 @@ def grouped(found: DataFrame, key: str = "siis_id") -> DataFrame:
 def actions(articles: DataFrame, key: str = "siis_id", content: str = "content") -> DataFrame:
     """(key, section_no, action_name, description, category, n_steps, n_groups, action_no): least disruptive first, else in order."""
     secs = sections(articles, key, content)
-    found = grouped(steps(secs, key), key)
+    return actions_of(secs, grouped(steps(secs, key), key), key)
+
+
+def actions_of(secs: DataFrame, found: DataFrame, key: str = "siis_id") -> DataFrame:
+    """The actions of sections and their grouped steps."""
     per = found.groupBy(key, "section_no", "heading").agg(
         F.count("*").alias("n_steps"), F.max("group_no").alias("n_groups"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step_no", "step"))), lambda x: x["step"]), " ").alias("said")
     )
@@ -96,3 +100,8 @@ def actions(articles: DataFrame, key: str = "siis_id", content: str = "content")
     order = F.element_at(F.create_map(*(F.lit(x) for kv in C.CATEGORY_ORDER.items() for x in kv)), F.col("category"))
     w = Window.partitionBy(key).orderBy("order_no", "section_no")
     return built.withColumn("order_no", order).withColumn("action_no", F.row_number().over(w).cast("bigint")).select(key, "section_no", "action_name", "description", "category", "n_steps", "n_groups", "action_no")
+
+
+def step_groups(found: DataFrame, key: str = "siis_id") -> DataFrame:
+    """(key, section_no, group_no, steps): the steps of each group as an array in order."""
+    return found.groupBy(key, "section_no", "group_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("step_no", "step"))), lambda x: x["step"]).alias("steps"))

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..cluster import cut
 from ..functions import constants as C
 from ..functions import text as T
 from ..functions.dialect import Spark, frame
@@ -89,11 +90,16 @@ def dense(queries: DataFrame, q: str, docs: DataFrame, doc: str, text: str = "te
     return a.join(b, "bucket").groupBy(q, doc).agg(F.sum(F.col("w") * F.col("v")).alias("dense"))
 
 
-def search(queries: DataFrame, q: str, docs: DataFrame, doc: str, k: int = 5, alpha: float = C.ALPHA, text: str = "text", query_text: str = "text") -> DataFrame:
-    """(q, doc, score, keyword, dense, coverage, rank): the k best of the fused scores of each query with terms."""
+def search(queries: DataFrame, q: str, docs: DataFrame, doc: str, k: int = 5, alpha: float = C.ALPHA, text: str = "text", query_text: str = "text", leaf_text: str | None = None) -> DataFrame:
+    """(q, doc, score, keyword, dense, coverage, rank): the k best of the fused scores of each query with terms.
+
+    leaf_text: a column of the queries whose terms the coverage is taken of, instead of the whole query's.
+    """
     if docs.count() > CATALOG_ROWS:
         raise ValueError(f"a catalog of more than {CATALOG_ROWS} rows; use bm25")
     lexical = bm25(queries, q, docs, doc, text, query_text)
+    if leaf_text:
+        lexical = lexical.drop("coverage").join(bm25(queries, q, docs, doc, text, leaf_text).select(q, doc, "coverage"), [q, doc], "left")
     n = query_terms(queries, q, query_text).select(q).distinct().join(lexical.groupBy(q).agg(F.count("*").alias("n")), q, "left").select(q, F.coalesce("n", F.lit(0)).alias("n"))
     pool = n.filter(F.col("n") < C.WIDEN).select(q).crossJoin(F.broadcast(docs.select(doc))).select(q, doc).unionByName(n.filter(F.col("n") >= C.WIDEN).select(q).join(lexical.select(q, doc), q))
     top = F.greatest(F.max("bm25").over(Window.partitionBy(q)), F.lit(1e-9))
@@ -139,24 +145,27 @@ def collapsed(source: str, out: str):
 
 
 def resolve(groups: DataFrame, catalog: DataFrame, mode: str = "hybrid", k: int = 6) -> DataFrame:
-    """For each row of groups (gid, steps, action_name): decision, target, doc_id of the entry, and the measures of the best.
+    """For each row of groups (gid, steps, action_name, and context or none): decision, target, doc_id of the entry, and the measures of the best.
 
-    Equal targets are searched once. Targets are tried from the deepest on; the first that passes the gates wins, else
+    Equal targets of equal context are searched once. Targets are tried from the deepest on; the first that passes the gates wins, else
     the strongest near miss is told.
     """
     docs = catalog_text(catalog)
-    trail = frame(groups.select("gid", "steps", "action_name"), TRAIL)
-    listed = trail.select("gid", "polarity", "on_settings", F.size("parts").alias("n_parts"), F.size("reversed").alias("n_trail"), F.size("candidates").alias("n_candidates"), F.posexplode("candidates").alias("depth", "leaf"))
+    context = F.coalesce("context", F.lit("")) if "context" in groups.columns else F.lit("")
+    trail = frame(groups.select("gid", "steps", "action_name", context.alias("context")), TRAIL)
+    listed = trail.select("gid", "context", "polarity", "on_settings", F.size("parts").alias("n_parts"), F.size("reversed").alias("n_trail"), F.size("candidates").alias("n_candidates"), F.posexplode("candidates").alias("depth", "leaf"))
     listed = listed.withColumn("from_topic", F.col("depth") == F.col("n_candidates") - 1)
     usable = frame(listed, T.usable_target("leaf")).filter("usable").withColumn("folded", F.lower("leaf"))
     topic = usable.filter("from_topic").select("gid", F.col("folded").alias("topic"))
     usable = usable.withColumn("nth", F.row_number().over(Window.partitionBy("gid", "folded").orderBy("depth"))).filter("nth = 1").join(topic, "gid", "left").withColumn("is_topic", F.coalesce(F.col("folded") == F.col("topic"), F.lit(False)))
+    usable = cut(usable)
     leaves = usable.select("leaf").distinct()
+    asked = usable.select("leaf", "context").distinct().withColumn("text", F.trim(F.concat_ws(" ", "leaf", "context"))).withColumn("ask", F.sha2(F.to_json(F.struct("leaf", "context")), 256))
     alpha = 1.0 if mode == "keyword" else C.ALPHA
-    hits = search(leaves.withColumn("text", F.col("leaf")), "leaf", docs, "doc_id", k, alpha)
+    hits = cut(search(asked, "ask", docs, "doc_id", k, alpha, leaf_text="leaf")).join(asked.select("ask", "leaf", "context"), "ask").drop("ask")
     named = frame(docs.select("doc_id", "kind", F.regexp_replace(F.coalesce("message", F.lit("")), C.NAME_VERBS, "").alias("screen")), collapsed("screen", "name_terms")).select("doc_id", "kind", "name_terms")
     leaf_terms = frame(leaves, collapsed("leaf", "leaf_terms")).select("leaf", "leaf_terms")
-    rows = usable.select("gid", "depth", "leaf", "polarity", "is_topic").join(hits, "leaf").join(F.broadcast(named), "doc_id").join(leaf_terms, "leaf")
+    rows = usable.select("gid", "depth", "leaf", "context", "polarity", "is_topic").join(hits, ["leaf", "context"]).join(F.broadcast(named), "doc_id").join(leaf_terms, "leaf")
     rows = rows.filter(~F.col("is_topic") | (F.col("polarity") != "open") | (F.col("kind") == "onClickURL"))
     want = F.when(F.col("polarity") == "on", "onURL").when(F.col("polarity") == "off", "offURL").otherwise("onClickURL")
     bonus = F.when(F.col("kind") == want, 0.12).when((F.col("polarity") != "open") & (F.col("kind") == "onClickURL"), 0.04).when((F.col("polarity") != "open") & F.col("kind").isin("onURL", "offURL"), -0.08).otherwise(0.0)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..cluster import table
+from ..cluster import cut, spread, table
 from ..functions import constants as C
 from ..functions import text as T
 from ..functions.dialect import Checker, sql
-from ..operators import nested
+from ..operators import nested, pipeline
 from ..operators import retrieval as R
+from .extraction_queries import WITH as ARTICLES
 from .plan_sql import PLANS
 
 K = Checker()
@@ -48,15 +49,21 @@ def _buckets(name: str, source: str, key: str) -> str:
 {name} AS (SELECT {key}, bucket, c / sqrt(sum(c * c) OVER (PARTITION BY {key})) AS w FROM {name}_c)"""
 
 
-def _search(docs: str, key: str, queries: str, q: str, k: int, alpha: float) -> str:
-    return f"""{_index(docs, key)},
+def _search(docs: str, key: str, queries: str, q: str, k: int, alpha: float, leaf: str = "") -> str:
+    own = "" if not leaf else f"""
+leaf_lists AS (SELECT {q}, {K.distinct('terms')} AS ts FROM {_terms(queries, q, leaf)}),
+leaf_idf AS (SELECT {q}, term, ln(1 + (n_docs - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)) AS idf FROM (SELECT {q}, unnest(ts) AS term FROM leaf_lists) LEFT JOIN freq USING (term) CROSS JOIN tot),
+leaf_cov AS (SELECT {q}, {key}, sum(idf) / any_value(whole) AS coverage FROM (SELECT *, sum(idf) OVER (PARTITION BY {q}) AS whole FROM leaf_idf) JOIN posts USING (term) GROUP BY 1, 2),"""
+    cov = "coalesce(coverage, 0.0)" if not leaf else "coalesce(leaf_cov.coverage, 0.0)"
+    join = "" if not leaf else f" LEFT JOIN leaf_cov USING ({q}, {key})"
+    return f"""{_index(docs, key)},{own}
 {_bm25(queries, q, key)},
 {_buckets('dvec', docs, key)},
 {_buckets('qvec', queries, q)},
 near AS (SELECT {q}, {key}, sum(a.w * b.w) AS dense FROM qvec a JOIN dvec b USING (bucket) GROUP BY 1, 2),
 counted AS (SELECT {q}, count({key}) AS n FROM (SELECT DISTINCT {q} FROM qt) LEFT JOIN lexical USING ({q}) GROUP BY 1),
 pool AS (SELECT {q}, {key} FROM counted, (SELECT {key} FROM {docs}) WHERE n < {C.WIDEN} UNION ALL SELECT {q}, {key} FROM counted JOIN lexical USING ({q}) WHERE n >= {C.WIDEN}),
-scored AS (SELECT {q}, {key}, coalesce(bm25 / greatest(max(bm25) OVER (PARTITION BY {q}), 1e-9), 0.0) AS keyword, coalesce(dense, 0.0) AS dense, coalesce(coverage, 0.0) AS coverage, first_ord FROM pool LEFT JOIN lexical USING ({q}, {key}) LEFT JOIN near USING ({q}, {key})),
+scored AS (SELECT {q}, {key}, coalesce(bm25 / greatest(max(bm25) OVER (PARTITION BY {q}), 1e-9), 0.0) AS keyword, coalesce(dense, 0.0) AS dense, {cov} AS coverage, first_ord FROM pool LEFT JOIN lexical USING ({q}, {key}) LEFT JOIN near USING ({q}, {key}){join}),
 hits AS (SELECT *, {alpha} * keyword + {1 - alpha} * dense AS score FROM scored),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY {q} ORDER BY floor(score * 1e9 + 0.5) / 1e9 DESC, first_ord ASC NULLS LAST, {key}) AS rank FROM hits QUALIFY rank <= {k})"""
 
@@ -126,7 +133,7 @@ def _groups(spark, sf_dir):
 
 def _resolved(spark, sf_dir, mode="hybrid"):
     """Groups of equal steps and action are resolved once."""
-    groups = _groups(spark, sf_dir).select("gid", "steps", "action_name", "category")
+    groups = cut(_groups(spark, sf_dir).select("gid", "steps", "action_name", "category"))
     alike = groups.select("steps", "action_name").distinct().withColumn("key", F.sha2(F.to_json(F.struct("steps", "action_name")), 256))
     done = R.resolve(alike.select(F.col("key").alias("gid"), "steps", "action_name"), table(spark, sf_dir, "deeplinks"), mode).withColumnRenamed("gid", "key")
     return groups.withColumn("key", F.sha2(F.to_json(F.struct("steps", "action_name")), 256)).join(done, "key")
@@ -179,41 +186,59 @@ def embedding_cosine_topk(spark, sf_dir):
     return near.withColumn("rank", rank.cast("bigint")).filter("rank <= 5")
 
 
-QUERIES = {f.__name__: f for f in (embedding_cosine_topk, term_freq, doc_freq, avg_doc_len, bm25_topk, hybrid_topk, keyword_mode_topk, gram_buckets, dense_cosine, screen_trail, resolve_screen, resolve_screen_keyword, map_deeplinks, map_report, ablation)}
+def troubleshoot(spark, sf_dir):
+    """The whole way for each article and the question it was fetched for."""
+    return pipeline.troubleshoot(spread(table(spark, sf_dir, "siis_responses").select("siis_id", "original_query", "title", "content")), table(spark, sf_dir, "deeplinks"))
+
+
+QUERIES = {f.__name__: f for f in (troubleshoot, embedding_cosine_topk, term_freq, doc_freq, avg_doc_len, bm25_topk, hybrid_topk, keyword_mode_topk, gram_buckets, dense_cosine, screen_trail, resolve_screen, resolve_screen_keyword, map_deeplinks, map_report, ablation)}
 
 _GROUPS = f"""{PLANS},
 groups AS (SELECT concat_ws('-', s.result_id, s.context_no, s.action_no, s.group_no) AS gid, s.steps, a.v->>'$.actionName' AS name1, a.v->>'$.action_name' AS name2, a.v->>'$.category' AS category
   FROM (SELECT result_id, context_no, action_no, group_no, list(v->>'$' ORDER BY step_no) AS steps FROM stps GROUP BY ALL) s LEFT JOIN acts a USING (result_id, context_no, action_no)),
-named AS (SELECT gid, steps, coalesce(name1, name2) AS action_name, category FROM groups),
+named AS (SELECT gid, steps, coalesce(name1, name2) AS action_name, category, '' AS context FROM groups),
 trails AS (SELECT * FROM {sql('named', R.TRAIL)})"""
 
 
-def _resolve(mode: str) -> str:
+def _resolve(mode: str, groups: str = "") -> str:
+    """groups: CTEs ending in named (gid, steps, action_name, category, context) and trails, instead of the recorded plans'."""
     alpha, open_gate = (1.0, "TRUE") if mode == "keyword" else (C.ALPHA, "FALSE")
     strip = K.replace("coalesce(message, '')", C.NAME_VERBS).replace(", 'g')", ")")
-    return f"""{_GROUPS},
+    return f"""{groups or _GROUPS},
 {_CATALOG},
-listed AS (SELECT gid, polarity, len(candidates) AS n_candidates, unnest(candidates) AS leaf, generate_subscripts(candidates, 1) AS depth FROM trails),
+listed AS (SELECT gid, context, polarity, len(candidates) AS n_candidates, unnest(candidates) AS leaf, generate_subscripts(candidates, 1) AS depth FROM trails),
 able AS (SELECT *, lower(leaf) AS folded, depth = n_candidates AS from_topic FROM {sql('listed', T.usable_target('leaf'))} WHERE usable),
 usable AS (SELECT u.*, coalesce(u.folded = t.topic, FALSE) AS is_topic FROM (SELECT * FROM able QUALIFY row_number() OVER (PARTITION BY gid, folded ORDER BY depth) = 1) u LEFT JOIN (SELECT gid, folded AS topic FROM able WHERE from_topic) t USING (gid)),
-leaves AS (SELECT DISTINCT leaf, leaf AS text FROM usable),
-{_search('catalog', 'doc_id', 'leaves', 'leaf', 6, alpha)},
+asks AS (SELECT leaf, context, row_number() OVER () AS ask, trim(concat_ws(' ', leaf, context)) AS text FROM (SELECT DISTINCT leaf, context FROM usable)),
+leaves AS (SELECT DISTINCT leaf FROM usable),
+{_search('catalog', 'doc_id', 'asks', 'ask', 6, alpha, 'leaf')},
 names AS (SELECT doc_id, kind, name_terms FROM {sql(f'(SELECT doc_id, kind, {strip} AS screen FROM catalog)', R.collapsed('screen', 'name_terms'))}),
 leafs AS (SELECT leaf, leaf_terms FROM {sql('leaves', R.collapsed('leaf', 'leaf_terms'))}),
 cand AS (SELECT gid, depth, leaf, polarity, doc_id, coverage, dense, rank, {R.name_match(K)} AS message_match,
   score + CASE WHEN kind = CASE polarity WHEN 'on' THEN 'onURL' WHEN 'off' THEN 'offURL' ELSE 'onClickURL' END THEN 0.12 WHEN polarity <> 'open' AND kind = 'onClickURL' THEN 0.04 WHEN polarity <> 'open' AND kind IN ('onURL', 'offURL') THEN -0.08 ELSE 0 END AS adjusted
-  FROM usable JOIN ranked USING (leaf) JOIN names USING (doc_id) JOIN leafs USING (leaf) WHERE NOT is_topic OR polarity <> 'open' OR kind = 'onClickURL'),
+  FROM usable JOIN asks USING (leaf, context) JOIN ranked USING (ask) JOIN names USING (doc_id) JOIN leafs USING (leaf) WHERE NOT is_topic OR polarity <> 'open' OR kind = 'onClickURL'),
 gated AS (SELECT *, coverage >= {C.COVERAGE} AND ({open_gate} OR dense >= {C.DENSE}) AND message_match >= {C.MESSAGE} AS passes FROM cand),
-per AS (SELECT * FROM gated QUALIFY row_number() OVER (PARTITION BY gid, depth ORDER BY passes DESC, floor(adjusted * 1e9 + 0.5) / 1e9 DESC, rank) = 1),
-chosen AS (SELECT * FROM per QUALIFY row_number() OVER (PARTITION BY gid ORDER BY passes DESC, CASE WHEN passes THEN 0 ELSE -floor(coverage * message_match * 1e9 + 0.5) / 1e9 END, depth) = 1),
+tops AS (SELECT * FROM gated QUALIFY row_number() OVER (PARTITION BY gid, depth ORDER BY passes DESC, floor(adjusted * 1e9 + 0.5) / 1e9 DESC, rank) = 1),
+chosen AS (SELECT * FROM tops QUALIFY row_number() OVER (PARTITION BY gid ORDER BY passes DESC, CASE WHEN passes THEN 0 ELSE -floor(coverage * message_match * 1e9 + 0.5) / 1e9 END, depth) = 1),
 resolved AS (SELECT t.gid, t.category, CASE WHEN h.gid IS NULL THEN CASE WHEN len(parts) > 0 THEN 'no-usable-target' ELSE 'no-screen-in-steps' END WHEN c.gid IS NULL THEN 'no-candidates' WHEN passes THEN 'matched' ELSE 'below-threshold' END AS reason,
   t.polarity, t.on_settings, c.leaf AS target, CASE WHEN passes THEN c.doc_id END AS doc_id, {_R6.format('coverage')} AS coverage, {_R6.format('dense')} AS dense, {_R6.format('message_match')} AS message_match
   FROM trails t LEFT JOIN (SELECT DISTINCT gid FROM usable) h USING (gid) LEFT JOIN chosen c USING (gid)),
 decided AS (SELECT *, CASE WHEN coalesce(category, 'manual') = 'manual' THEN 'manual-no-deeplink' WHEN reason = 'matched' THEN 'matched' WHEN reason = 'below-threshold' AND on_settings THEN 'placeholder' ELSE 'no-match' END AS decision FROM resolved)"""
 
 
+_ASKED = f"""{ARTICLES},
+questions AS (SELECT * FROM {sql('(SELECT siis_id, original_query, title, content FROM siis_responses)', [('query', lambda d: T.scrub(d, T.spaces(d, 'original_query')))])}),
+own AS (SELECT siis_id, section_no, group_no, list(step ORDER BY step_no) AS steps FROM grouped GROUP BY 1, 2, 3),
+named AS (SELECT concat_ws('-', siis_id, section_no, group_no::bigint) AS gid, siis_id, steps, action_name, category, query AS context FROM own JOIN actions USING (siis_id, section_no) JOIN (SELECT siis_id, query FROM questions) USING (siis_id)),
+trails AS (SELECT * FROM {sql('named', R.TRAIL)})"""
+_SHARED = f"""{_resolve('hybrid', _ASKED)},
+tallied AS (SELECT siis_id, count(*) AS n_groups, sum(len(steps))::bigint AS n_steps, count(*) FILTER (d.category <> 'manual') AS n_auto, count(*) FILTER (decision = 'matched') AS n_matched, count(*) FILTER (decision = 'placeholder') AS n_placeholder FROM named n JOIN decided d USING (gid) GROUP BY 1),
+acted AS (SELECT siis_id, count(*) AS n_actions FROM actions GROUP BY 1),
+outcomes AS (SELECT * FROM {sql('(SELECT q.*, n_actions, n_groups, n_steps, n_auto, n_matched, n_placeholder FROM questions q LEFT JOIN acted USING (siis_id) LEFT JOIN tallied USING (siis_id))', [*pipeline.OUTCOME, ('qs', lambda d: d.distinct(pipeline.overlap_words(d, 'query'))), ('ts', lambda d: d.distinct(pipeline.overlap_words(d, 'title')))])})"""
 _TOP = f"SELECT q, doc_id, {', '.join(f'{_R6.format(x)} AS {x}' for x in ('score', 'keyword', 'dense', 'coverage'))}, rank FROM ranked"
+_IF = lambda x: f"CASE WHEN outcome = 'answered' THEN {x} END"
 SQL = {
+    "troubleshoot": f"{_SHARED} SELECT siis_id, outcome, {', '.join(f'{_IF(x)} AS {x}' for x in ('goal_text', 'title_text', 'n_actions', 'n_groups', 'n_steps', 'n_matched', 'n_placeholder'))}, {_IF('greatest(0.05, least(0.99, floor((0.45 * CASE WHEN n_auto = 0 THEN 1.0 ELSE n_matched / n_auto END + 0.30 * least(1.0, n_steps / 8) + 0.25 * CASE WHEN len(qs) = 0 OR len(ts) = 0 THEN 0.4 ELSE len(list_intersect(qs, ts)) / len(ts) END) * 100 + 0.5) / 100))::double')} AS score FROM outcomes",
     "embedding_cosine_topk": f"""WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) AS dim, unnest(embedding)::double AS x FROM embeddings), w AS (SELECT vec_id, sqrt(sum(x * x)) AS norm FROM e GROUP BY 1), u AS (SELECT vec_id, dim, x / norm AS x FROM e JOIN w USING (vec_id)),
       near AS (SELECT a.vec_id AS q, b.vec_id, {_R6.format('sum(a.x * b.x)')} AS cosine FROM u a JOIN u b USING (dim) WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, vec_id) AS rank FROM near QUALIFY rank <= 5""",
     "term_freq": f"WITH {_index('documents', 'doc_id')} SELECT doc_id, term, tf FROM posts",
