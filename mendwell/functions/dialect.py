@@ -16,6 +16,21 @@ from pyspark.sql import functions as F
 _EDGE = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
 
+def for_spark(p: str) -> str:
+    """The pattern with its ends and word boundaries spelled out: as one look where a word begins or ends there for sure, else as both."""
+
+    def edge(m: re.Match) -> str:
+        head, tail = p[: m.start()], p[m.end() :]
+        if re.match(r"(?:\((?:\?:)?)*(?:[A-Za-z]|\\w)", tail):
+            return "(?<![A-Za-z0-9_])"
+        if re.search(r"[A-Za-z)?}\]]$", head) and not head.endswith("(?i)"):
+            return "(?![A-Za-z0-9_])"
+        return _EDGE
+
+    # '$' is the very end here, where the engine's own also stands before a last line end
+    return re.sub(r"(?<!\\)\$", lambda m: r"\z", re.sub(r"\\b", edge, p))
+
+
 class Spark:
     """Expressions in Spark's SQL."""
 
@@ -23,7 +38,7 @@ class Spark:
         return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
     def pattern(self, p: str) -> str:
-        return self.lit(p.replace("\\b", _EDGE))
+        return self.lit(for_spark(p))
 
     def replace(self, x: str, p: str, to: str = "") -> str:
         return f"regexp_replace({x}, {self.pattern(p)}, {self.lit(re.sub(r'\\(\d)', r'$\1', to.replace('$', '\\$')))})"

@@ -77,7 +77,7 @@ def lookup(complaints: DataFrame, records: DataFrame, key: str = "complaint_id",
     in_kept = lambda df: df.join(kept.select(F.col("key").alias("kept_key")), "kept_key")
     stored = in_kept(asked.select(key, F.col("key").alias("vkey")).join(index.withColumnRenamed("key", "kept_key"), "vkey")).select(key, F.lit(2).alias("step"), F.lit(0).alias("pos"), "kept_key")
     # outer: else the optimiser asks for the array's size below, with its whole expression over and over
-    said = frame(asked.select(key, F.posexplode_outer("variations").alias("pos", "said")), T.canonical("said", "vkey")).select(key, "pos", "vkey")
+    said = cut(frame(asked.select(key, F.posexplode_outer("variations").alias("pos", "said")), T.canonical("said", "vkey")).select(key, "pos", "vkey"))
     own = said.join(kept.select(F.col("key").alias("vkey")), "vkey").select(key, F.lit(3).alias("step"), (F.col("pos") * 2).alias("pos"), F.col("vkey").alias("kept_key"))
     own_stored = in_kept(said.join(index.withColumnRenamed("key", "kept_key"), "vkey")).select(key, F.lit(3).alias("step"), (F.col("pos") * 2 + 1).alias("pos"), "kept_key")
     near = asked.select(key, "key").join(fuzzy(asked, kept), "key").select(key, F.lit(4).alias("step"), F.lit(0).alias("pos"), "kept_key")
