@@ -8,7 +8,9 @@ from ..cluster import spread, table
 from ..functions import constants as C
 from ..functions import text as T
 from ..functions.dialect import sql
+from ..operators import nested
 from ..operators import plan_cache as P
+from .plan_sql import PLANS
 
 
 def _records(spark, sf_dir):
@@ -59,7 +61,17 @@ def canonical_collisions(spark, sf_dir):
     return keyed.groupBy("canonical_key").agg(F.count("*").alias("n"), F.countDistinct("query").alias("n_spellings")).filter("n > 1")
 
 
-QUERIES = {f.__name__: f for f in (cache_entries, cache_paraphrases, cache_ttl_live, cache_evict, cache_fuzzy, cache_cascade, cache_stats, canonical_collisions)}
+def cache_list(spark, sf_dir):
+    """Kept plans with their sample, hits, number of contexts, and age when the last one was stored."""
+    records = _records(spark, sf_dir)
+    kept = P.entries(records).join(records.select("cache_id", F.col("query").alias("sample"), "hits"), "cache_id")
+    n = nested.flat_tables(table(spark, sf_dir, "results"), "result_id", "response")["goal"].groupBy("result_id").agg(F.count("*").alias("contexts"))
+    now = F.broadcast(records.filter("cache_key <> ''").agg(F.max("stored_at").alias("now")))  # one row
+    age = F.floor((F.unix_micros(F.col("now").cast("timestamp")) - F.unix_micros(F.col("stored_at").cast("timestamp"))) / 1e6 + 0.5).cast("bigint")
+    return kept.join(n, "result_id", "left").crossJoin(now).select("key", "sample", F.col("hits").cast("bigint").alias("hits"), F.coalesce("contexts", F.lit(0)).alias("contexts"), age.alias("age_s"))
+
+
+QUERIES = {f.__name__: f for f in (cache_list, cache_entries, cache_paraphrases, cache_ttl_live, cache_evict, cache_fuzzy, cache_cascade, cache_stats, canonical_collisions)}
 
 _WITH = f"""WITH own AS (SELECT * FROM cache_records WHERE cache_key IS NOT NULL AND cache_key <> ''),
 kept AS (SELECT cache_key AS key, arg_max(cache_id, (stored_at, cache_id)) AS cache_id, arg_max((result_id,), (stored_at, cache_id)) AS r, max(stored_at) AS stored_at, min((stored_at, cache_id)) AS seq FROM own GROUP BY 1),
@@ -80,6 +92,7 @@ hits AS (SELECT complaint_id, 1 AS step, 0 AS pos, key AS kept_key FROM asked JO
 firsts AS (SELECT complaint_id, min((step, pos, kept_key)) AS hit FROM hits GROUP BY 1),
 answers AS (SELECT complaint_id, asked.key AS canonical_key, CASE hit[1] WHEN 1 THEN 'exact' WHEN 2 THEN 'variation' WHEN 3 THEN 'variation' WHEN 4 THEN 'fuzzy' ELSE 'miss' END AS match, hit[3] AS kept_key FROM asked LEFT JOIN firsts USING (complaint_id))"""
 SQL = {
+    "cache_list": PLANS + ", " + _WITH.removeprefix("WITH ") + " SELECT key, c.query AS sample, c.hits::bigint AS hits, coalesce(n.contexts, 0) AS contexts, floor((epoch_us((SELECT max(stored_at) FROM kept)) - epoch_us(kept.stored_at)) / 1e6 + 0.5)::bigint AS age_s FROM kept JOIN cache_records c USING (cache_id) LEFT JOIN (SELECT result_id, count(*) AS contexts FROM goals GROUP BY 1) n ON n.result_id = kept.r[1]",
     "cache_entries": _WITH + " SELECT key, cache_id, r[1] AS result_id, stored_at FROM kept",
     "cache_paraphrases": _WITH + " SELECT vkey, key FROM idx",
     "cache_ttl_live": _WITH + f" SELECT key, cache_id FROM kept WHERE epoch_us((SELECT max(stored_at) FROM kept)) - epoch_us(stored_at) <= {C.LIFETIME_S * 1000000}",

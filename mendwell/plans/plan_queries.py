@@ -162,8 +162,26 @@ def explore_search(spark, sf_dir):
     return a.filter(hay.contains("battery") | F.lower(F.coalesce("title", F.lit(""))).rlike("blank|black")).select("siis_id", F.substring(F.coalesce("title", "original_query"), 1, 70).alias("shown"))
 
 
+def failure_report(spark, sf_dir):
+    """The first 40 violations; the limit is the feature."""
+    return validate_rules(spark, sf_dir).orderBy("result_id", "path", "rule").limit(40)
+
+
+def placeholder_entry(spark, sf_dir):
+    """The catalog's generic entry: the first whose link is marked so."""
+    links = table(spark, sf_dir, "deeplinks").filter(F.col("deeplink").contains("dummy_positive"))
+    return links.orderBy("link_id").limit(1).select("link_id", "deeplink")
+
+
+def valid_links(spark, sf_dir):
+    """Which entries of the catalog could be emitted: the scheme, a description, and no web address in what is shown."""
+    links = table(spark, sf_dir, "deeplinks")
+    ok = f"coalesce(deeplink LIKE '{C.SCHEME}%', false) AND trim(coalesce(description, '')) <> '' AND NOT {T.contains_url(R.D, "coalesce(description, '')")} AND NOT {T.contains_url(R.D, "coalesce(message, '')")}"
+    return links.select("link_id", F.expr(ok).alias("valid"))
+
+
 QUERIES = {f.__name__: f for f in (
-    uri_union, uri_semi, uri_anti, order_actions, plan_flatten, plan_top4, plan_repair, score_goal, validate_rules, validate_summary, validate_tally, rule_compliance, step_accuracy, link_relevance, reference_pairing, history_recent, explore_search,
+    failure_report, placeholder_entry, valid_links, uri_union, uri_semi, uri_anti, order_actions, plan_flatten, plan_top4, plan_repair, score_goal, validate_rules, validate_summary, validate_tally, rule_compliance, step_accuracy, link_relevance, reference_pairing, history_recent, explore_search,
 )}
 
 _F = lambda x, *names: "coalesce(" + ", ".join(f"{x}->>'$.{n}'" for n in names) + ")" if len(names) > 1 else f"({x}->>'$.{names[0]}')"
@@ -202,6 +220,9 @@ _WORDS = lambda x: f"list_distinct(list_filter(string_split_regex(regexp_replace
 _NORM = lambda x: f"trim(regexp_replace(regexp_replace(lower(coalesce({x}, '')), '^\\s*\\d+[.)]\\s*', ''), '[^a-z0-9]+', ' ', 'g'))"
 _TEXT = T.description("stripped", "built")
 SQL = {
+    "failure_report": f"{_P} SELECT * FROM ({_CHECKS}) ORDER BY result_id, path, rule LIMIT 40",
+    "placeholder_entry": "SELECT link_id, deeplink FROM deeplinks WHERE contains(deeplink, 'dummy_positive') ORDER BY link_id LIMIT 1",
+    "valid_links": f"SELECT link_id, coalesce(deeplink LIKE '{C.SCHEME}%', false) AND trim(coalesce(description, '')) <> '' AND NOT {T.contains_url(K, "coalesce(description, '')")} AND NOT {T.contains_url(K, "coalesce(message, '')")} AS valid FROM deeplinks",
     "uri_union": f"{_P} SELECT uri FROM uris",
     "uri_semi": f"{_P} SELECT uri, count(*) AS n FROM used WHERE uri IN (SELECT uri FROM uris) GROUP BY 1",
     "uri_anti": f"{_P} SELECT uri, count(*) AS n FROM used WHERE uri NOT IN (SELECT uri FROM uris) GROUP BY 1",
