@@ -65,6 +65,11 @@ _SECTION = re.compile(r"\\(?:part|chapter|(?:sub)*section|(?:sub)?paragraph)\*?\
 _UNDERLINE = re.compile(r" {0,3}(?:={2,}|-{2,})[ \t]*$")
 
 
+_IMAGE, _LINK, _STRUCK = re.compile(r"!\[[^\]]*\]\([^()]*\)"), re.compile(r"\[([^\[\]]*)\]\([^()]*\)"), re.compile(r"~~(.+?)~~ ?")
+_EMPHASIS = re.compile(r"(?<![\w*])(\*{1,3})(?=\S)(.+?)(?<=\S)\1(?![\w*])|(?<![\w_])(_{1,3})(?=\S)(.+?)(?<=\S)\3(?![\w_])")
+_NO_TAG, _ADDRESS, _BLANKS = re.compile(r"<(?![a-zA-Z/!])|<(?=https?://)"), re.compile(r"<https?://[^<>\s]*>"), re.compile(r"[ \t\u00a0]+")
+
+
 class _Line(HTMLParser):
     """Text, tags and elements of the lines as they are fed."""
 
@@ -125,10 +130,11 @@ def _inline(text: str, kind: str) -> str:
         text = re.sub(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]", r"\1", text)
         text = re.sub(r"\[https?://\S+ ([^\]]+)\]", r"\1", text)
         return re.sub(r"'{2,5}", "", text)
-    text = re.sub(r"!\[[^\]]*\]\([^()]*\)", "", text)
-    text = re.sub(r"\[([^\[\]]*)\]\([^()]*\)", r"\1", text)
-    text = re.sub(r"~~(.+?)~~ ?", "", text)
-    return re.sub(r"(?<![\w*])(\*{1,3})(?=\S)(.+?)(?<=\S)\1(?![\w*])|(?<![\w_])(_{1,3})(?=\S)(.+?)(?<=\S)\3(?![\w_])", lambda m: m.group(2) or m.group(4), text)
+    if "](" in text:
+        text = _LINK.sub(r"\1", _IMAGE.sub("", text))
+    if "~~" in text:
+        text = _STRUCK.sub("", text)
+    return _EMPHASIS.sub(lambda m: m.group(2) or m.group(4), text) if "*" in text or "_" in text else text
 
 
 def _payload(source: str, kind: str) -> str:
@@ -188,13 +194,13 @@ def elements(text: str | None) -> list[tuple[list[str], str, int]]:
             body = re.sub(r"\\item\b\s*(?:\[[^\]]*\])?", lambda m: marks.append("list_item") or " ", body)
             body = body.replace("<", "&lt;")
         parser.begin()
-        parser.feed(re.sub(r"<(?![a-zA-Z/!])|<(?=https?://)", "&lt;", body) + "\n")
+        parser.feed((_NO_TAG.sub("&lt;", body) if "<" in body else body) + "\n")
         shown = "".join(parser.parts)
         marks += parser.marks
         for m in _HELD.finditer(shown):
             if m.group(1) != _TEXT:
                 marks.append("code_block" if m.group(1) == _CODE else "formula")
-        shown = _inline(re.sub(r"<https?://[^<>\s]*>", "", shown), kind)
+        shown = _inline(_ADDRESS.sub("", shown) if "<http" in shown else shown, kind)
 
         def back(m: re.Match) -> str:
             source = held[int(m.group(2))]
@@ -203,8 +209,8 @@ def elements(text: str | None) -> list[tuple[list[str], str, int]]:
             payload = _payload(source, m.group(1))
             return f"\n```\n{payload}\n```\n" if m.group(1) == _CODE else f"${payload}$"
 
-        shown = re.sub(r"[ \t\u00a0]+", " ", shown).strip(" {}\n" if kind == "latex" and marks[:1] == ["heading"] else " \n")
-        shown = _HELD.sub(back, shown).strip("\n")
+        shown = _BLANKS.sub(" ", shown).strip(" {}\n" if kind == "latex" and marks[:1] == ["heading"] else " \n")
+        shown = (_HELD.sub(back, shown) if _END in shown else shown).strip("\n")
         if marks[:1] == ["heading"]:
             shown = "# " + shown
         elif marks[:1] == ["list_item"]:
@@ -216,6 +222,8 @@ def elements(text: str | None) -> list[tuple[list[str], str, int]]:
 
 def content(lines: list[tuple[list[str], str, int]]) -> list[bool]:
     """Which lines are content: by the smoothed ratio of text to tags, parted at the middle of two means."""
+    if not any(n for _, _, n in lines):
+        return [True] * len(lines)  # without tags nothing is mostly tags
     ratios = [len(t) / max(1, n) for _, t, n in lines]
     reach = math.ceil(3 * SIGMA)
     weights = [math.exp(-(d * d) / (2 * SIGMA * SIGMA)) for d in range(-reach, reach + 1)]
