@@ -1,15 +1,16 @@
 """Passages of held-out items inside corpus documents.
 
 A case is a stretch of at least 30 words of an item, in its order, in which up to one word in ten was replaced, added or
-left out. A longer stretch holds one of exactly 30 words with 3 edits at most, so windows of 30 words are looked for.
+left out. Every stretch, however long, holds a part of exactly 30 words with 5 edits at most (all 5 of one of 50 to 59 words
+can lie where its parts overlap), so windows of 30 words are looked for and stretches of all lengths verified around them.
 
 Every window of the items and of the documents is walked by shared random bits (CGK): at step j the walk writes the word it
 stands on and goes on by the bit drawn for (j, word). Edits then cost few positions of the written walk, and two walks are
 brought together by equal words at a few sampled steps (bit sampling). This is repeated over several walks, samples and all
-starts of a stretch; ``tests/llm`` measures recall against brute force. What meets is verified exactly: the edit distance
-of the item's 30 words to the best part of the document around the place.
+starts of a stretch; ``tests/llm`` measures recall against brute force. What meets is verified exactly: the edit distances
+of all stretches of the item to the best part of the document around the place.
 
-A document window goes on the walk only if it has 23 pairs of neighbours that items have too: no case can have fewer. Documents never move:
+A document window goes on the walk only if it has 19 pairs of neighbours that items have too: some window of every case has. Documents never move:
 the items' index is sent to them, in blocks of bounded size, one pass for each block.
 
 Defined results
@@ -33,7 +34,9 @@ from pyspark.sql import functions as F
 
 from ..cluster import spread
 
-STRETCH, EDITS = 30, 3
+#: Words of the least stretch, and edits in the best 30 words of any stretch: of n words with n // 10 edits, n // 30 parts
+#: share nothing, so one has (n // 10) // (n // 30) at most.
+STRETCH, EDITS = 30, 5
 #: Length of a walk, walks, samples of each, and steps in a sample.
 STEPS, WALKS, SAMPLES, WIDTH = 44, 8, 6, 5
 #: Words of items in one block; the index of a block takes about 400 bytes a word.
@@ -86,18 +89,40 @@ def distance(pattern: list, text: list) -> int:
     return best
 
 
-def holds(item: list, start: int, text: list) -> bool:
-    """Whether the text holds a stretch of the item from here on that begins and ends with a word in common.
+def holds(item: np.ndarray, text: np.ndarray) -> bool:
+    """Whether the text holds a stretch of the item, of any length, that begins and ends with a word in common.
 
     Its ends are in common if it costs nothing to have them. A quote of fewer words isn't stretched to 30 by
     counting words it never had at its ends as left out.
+
+    The recurrence goes on by a word from all starts at once, and gives the distance of each length on its way.
     """
-    if distance(item[start + 1 : start + STRETCH - 1], text) > EDITS:
-        return False
-    for n in range(STRETCH, min(STRETCH + EDITS, len(item) - start) + 1):
-        edits = distance(item[start : start + n], text)
-        if edits <= n // 10 and edits == distance(item[start + 1 : start + n - 1], text):
+    m, most = len(item), len(item) // 10
+    differs = item[:, None] != text
+    ramp = np.arange(len(text) + 1, dtype=np.int16)
+    starts = np.arange(m - STRETCH + 2)  # one more, for the inner words of the last one
+    rows = np.zeros((len(starts), len(text) + 1), np.int16)
+    none = np.full(len(starts) + 1, m + 1, np.int16)
+    earlier, last = none, none
+    for n in range(1, m + 1):
+        inside = starts + n <= m
+        if not inside.all():
+            starts, rows = starts[inside], rows[inside]
+        new = np.empty_like(rows)
+        new[:, 0] = n
+        np.minimum(rows[:, :-1] + differs[starts + n - 1], rows[:, 1:] + 1, out=new[:, 1:])
+        rows = np.minimum.accumulate(new - ramp, axis=1) + ramp
+        least = rows.min(1)
+        alive = least <= most  # it never falls as the stretch grows
+        if not alive.all():
+            starts, rows, least = starts[alive], rows[alive], least[alive]
+        if not len(starts):
+            return False
+        best = none.copy()
+        best[starts] = least
+        if n >= STRETCH and ((best[:-1] <= n // 10) & (best[:-1] == earlier[1:])).any():
             return True
+        earlier, last = last, best
     return False
 
 
@@ -159,7 +184,7 @@ class Index:
 
 
 def candidates(line: np.ndarray, index: Index) -> np.ndarray:
-    """Starts of walks in windows of 33 words that can hold a case: each edit costs two of the item's 29 pairs of neighbours at most."""
+    """Starts of walks in windows of 35 words that can hold the best part of a case: each edit costs two of the item's 29 pairs of neighbours at most."""
     width = STRETCH + EDITS
     codes = line[:-1].astype(np.int64) * index.width + line[1:]
     at = np.minimum(np.searchsorted(index.pairs, codes), len(index.pairs) - 1)
@@ -201,15 +226,17 @@ def leaks(docs: list[list[str]], index: Index) -> list[list[int]]:
             item, text = index.lines[n], lines[d]
             for w in np.flatnonzero(good).tolist():
                 a = w + q * NEAR
-                if holds(item, w, text[max(0, a - 2 * NEAR) : max(0, a + STRETCH + 3 * NEAR)]):
-                    done.add((d, n))
-                    found[d].append(n)
+                if distance(item[w : w + STRETCH], text[max(0, a - 2 * NEAR) : max(0, a + STRETCH + 3 * NEAR)]) <= EDITS:
+                    a, drift = q * NEAR, len(item) // 10  # the rest of a stretch may have moved by all its edits
+                    if holds(np.array(item), np.array(text[max(0, a - drift - 2 * NEAR) : max(0, a + len(item) + drift + 3 * NEAR)])):
+                        done.add((d, n))
+                        found[d].append(n)
                     break
     return found
 
 
 def promising(line: np.ndarray, base: np.ndarray, rows: np.ndarray, index: Index) -> np.ndarray:
-    """For each (document, item, slant), which of the item's windows have 27 of their words near the slant: no case has fewer."""
+    """For each (document, item, slant), which of the item's windows have 25 of their words near the slant: the best part of a case has."""
     item, lengths = index.grid[rows[:, 1]], index.lengths[rows[:, 1]]
     at = (base[rows[:, 0]] + rows[:, 2] * NEAR)[:, None] + np.arange(item.shape[1])
     near = np.zeros(item.shape, bool)

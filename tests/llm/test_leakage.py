@@ -90,3 +90,54 @@ def test_frames_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, L.find(docs, "doc_id", "text", items, "item_id", "text").collect())) == want
     assert L.find(docs.limit(0), "doc_id", "text", items, "item_id", "text").count() == 0
     assert L.find(docs, "doc_id", "text", items.limit(0), "item_id", "text").count() == 0
+
+
+def leasts(pattern, doc):
+    """The least distance of each beginning of the pattern to any part of the text, by the plain recurrence."""
+    row, out = [0] * (len(doc) + 1), [0]
+    for i, w in enumerate(pattern, 1):
+        new = [i]
+        for j, v in enumerate(doc, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (w != v)))
+        row = new
+        out.append(min(row))
+    return out
+
+
+def brute_of_all_lengths(doc, item):
+    """A stretch of 30 words or more up to the item's end, one in ten edited at most, with both ends in common."""
+    outer = leasts(item, doc)
+    for s in range(len(item) - L.STRETCH + 1):
+        inner = leasts(item[s + 1 :], doc)
+        if any(outer[n] <= n // 10 and outer[n] == inner[n - 2] for n in range(L.STRETCH, len(item) - s + 1)):
+            return True
+        outer = inner
+    return False
+
+
+def test_long_stretches_with_their_edits_in_the_middle():
+    items = [(i, passage(62)) for i in range(3)]
+    index = L.Index(items)
+    docs, full = [], []
+    for n, edits in ((40, (15, 18, 21, 24)), (50, (20, 22, 24, 26, 28)), (59, (29, 29, 29, 29, 29))):
+        for _, item in items:
+            quote = item[:n]
+            for i in edits:
+                if n == 59:
+                    quote.insert(i, "inserted")
+                else:
+                    quote[i] = "replaced"
+            full.append(len(docs))
+            docs.append(passage(5) + quote + passage(5))
+            over = list(quote)
+            over[12] = over[35] = "replaced"
+            docs.append(passage(5) + over + passage(5))
+    for k in range(30):
+        item = RNG.choice(items)[1]
+        n = RNG.choice((40, 42, 50, 55))
+        docs.append(passage(5) + edited(item[:n], n // 10 + RNG.choice((0, 0, 1, 3))) + passage(5))
+    got = {(d, n) for d, ns in enumerate(L.leaks(docs, index)) for n in ns}
+    want = {(d, n) for d, doc in enumerate(docs) for n, (_, item) in enumerate(items) if brute_of_all_lengths(doc, item)}
+    assert {d for d, _ in want} >= set(full)
+    assert got <= want
+    assert len(got) >= 0.97 * len(want)
