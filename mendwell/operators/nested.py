@@ -205,7 +205,8 @@ def triples(text: str | None, shape: Shape) -> list[tuple[str, list[int], str |
                 elif stack and len(stack) > base and stack[-1][0] == "skiplist":
                     pending = ("skip", 0, [], "")
                 role, depth, ordinals, prefix = pending
-                if role == "array" and kind in ("{", "string", "scalar") and not (kind == "scalar" and s == "null"):
+                lone = role == "array" and kind in ("{", "string", "scalar") and not (kind == "scalar" and s == "null")
+                if lone:
                     role, ordinals = "element", [*ordinals, 0]  # a lone one is an array of one
                 if kind == "{":
                     if role == "element":
@@ -221,7 +222,10 @@ def triples(text: str | None, shape: Shape) -> list[tuple[str, list[int], str |
                 elif kind == "string" and role in ("root", "array", "element") and s.lstrip(" \t\r\n﻿")[:1] in ("{", "[", '"') and (role == "root" or names[depth] != names[-1]):
                     before = len(out), len(stack)
                     try:
-                        read(s.strip(" \t\r\n﻿"), "root" if role == "root" else "array", depth, ordinals[:-1] if role == "element" else ordinals)
+                        if lone:  # the text of an array, or of its only element
+                            read(s.strip(" \t\r\n﻿"), "array", depth, ordinals[:-1])
+                        else:
+                            read(s.strip(" \t\r\n﻿"), role, depth, ordinals)
                     except ValueError:
                         if role == "root":
                             raise

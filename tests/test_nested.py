@@ -69,3 +69,25 @@ def test_empty_table_and_repeated_rows(spark):
     assert N.nodes(empty, "result_id", "response").count() == 0
     twice = spark.createDataFrame([(1, json.dumps(PLAN))] * 2, "result_id bigint, response string")
     assert N.nodes(twice, "result_id", "response").count() == len(NODES)
+
+
+def test_texts_as_elements_keep_their_positions(spark):
+    def plan(encode):
+        step = lambda n: {"steps": [n, "z"]}
+        actions = [{"actionName": "a", "stepGroups": [step("p"), encode(step("q"))]}, None, encode({"actionName": "b", "stepGroups": step("r")}), encode({"actionName": "c", "stepGroups": [encode(step("s")), encode(step("t"))]})]
+        return json.dumps({"contexts": [encode({"goal": "g"}), encode({"goal": "h", "actions": actions})]})
+
+    plain = plan(lambda x: x)
+    forms = {2: plan(json.dumps), 3: plan(lambda x: json.dumps(json.dumps(x))), 4: json.dumps(plan(json.dumps))}
+    for text in forms.values():
+        assert N.triples(text, N.PLAN) == N.triples(plain, N.PLAN)
+    rows = {}
+    for r in N.nodes(spark.createDataFrame([(1, plain), *forms.items()], "result_id bigint, response string"), "result_id", "response").collect():
+        rows.setdefault(r.result_id, set()).add(tuple(r)[1:])
+    assert len(rows[1]) == 2 + 3 + 5 + 10 and all(x == rows[1] for x in rows.values())
+
+
+def test_lone_texts_stand_for_the_array():
+    group = {"steps": ["a"]}
+    for actions in ({"stepGroups": group}, json.dumps({"stepGroups": group}), json.dumps([{"stepGroups": json.dumps([group])}]), json.dumps(json.dumps([{"stepGroups": [group]}]))):
+        assert kinds(json.dumps({"contexts": [{"actions": actions}]})) == [(0, 0), (1, 0, 0), (2, 0, 0, 0), (3, 0, 0, 0, 0)]
