@@ -10,6 +10,8 @@ no subject (courtesies, times, devices) link nothing. Each round is a few equi-j
         documents give the shares found so far; a sentence whose own subject is clear gives all its mass to it;
     phrases -> sentences -> documents: evidence by subject, the sentence's subject where one leads, and shares.
 
+Rounds go on until no document's subjects change. If they still do after ``ROUNDS``, the last ones are given and a warning says so.
+
 A document keeps every subject with at least a quarter of its sentences that speak of any.
 
 Defined results
@@ -25,6 +27,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+import warnings
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -32,8 +35,8 @@ from pyspark.sql import functions as F
 
 from ..cluster import cut, spread
 
-#: Rounds of propagation; share of a document's sentences that makes a subject.
-ROUNDS, SHARE = 4, 0.25
+#: Rounds of propagation at most, which only guards against shares that swing for ever; share of a document's sentences that makes a subject.
+ROUNDS, SHARE = 40, 0.25
 #: A phrase carries a subject if it has so much of the phrase's rate over the subjects (mass by the subject's whole mass, so that small
 #: subjects aren't swallowed by large ones that they go with), after so much mass of the whole corpus was mixed in.
 PURE, MIXED = 0.5, 1.0
@@ -94,7 +97,7 @@ def assign(docs: DataFrame, key: str, text: str, labels: DataFrame, subjects: Da
     phrases = cut(rows.groupBy("sentence").agg(F.first("said").alias("said")).select("sentence", F.explode(F.array_distinct(pairs)).alias("phrase")))
     known = labels.select(F.col(key).alias("doc"), number.alias("s")).filter("s IS NOT NULL AND doc IS NOT NULL").distinct()
     seeds = known.withColumn("share", 1 / F.count("*").over(Window.partitionBy("doc")))
-    shares, leads = seeds, None
+    shares, leads, before = seeds, None, None
     for i in range(rounds):
         # down: mass of the sentences, and of the phrases, by subject
         given = edges.join(shares, "doc")
@@ -117,9 +120,16 @@ def assign(docs: DataFrame, key: str, text: str, labels: DataFrame, subjects: Da
         leads = cut(leads)
         counts = edges.join(leads, "sentence").groupBy("doc", "s").agg(F.sum("n").alias("n"))
         found = counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("doc")))
+        kept = cut(found.filter(F.col("share") >= SHARE).select("doc", "s"))
+        changed = kept.count() if before is None else kept.withColumn("by", F.lit(1)).unionByName(before.withColumn("by", F.lit(-1))).groupBy("doc", "s").agg(F.sum("by").alias("by")).filter("by <> 0").count()
+        before = kept
+        if not changed:
+            break
         if i + 1 < rounds:
             sure = F.col("n") / (F.sum("n").over(Window.partitionBy("doc")) + DOUBT)
             own = found.withColumn("sure", sure).join(seeds.select("doc").distinct(), "doc", "left_anti").filter(F.col("share") >= SHARE).select("doc", "s", F.col("sure").alias("share"))
             shares = cut(seeds.unionByName(own))
+    else:
+        warnings.warn(f"{changed} rows changed still in the last of {rounds} rounds", stacklevel=2)
     named = F.element_at(F.array(*(F.lit(x) for x in names)), F.col("s") + 1)
-    return found.filter(F.col("share") >= SHARE).select(F.col("doc").alias(key), named.alias("subject"))
+    return kept.select(F.col("doc").alias(key), named.alias("subject"))

@@ -51,3 +51,11 @@ def test_empty_sides(spark):
 
 def test_sentences_fold_numbers_and_wraps():
     assert S.sentences("> Quote one goes\n> on here. <b>Two</b> has T5 &amp; 7!\n\n# Head line\nuser: third one") == [["quote", "one", "goes", "on", "here"], ["two", "has", "0", "0"], ["head", "line"], ["third", "one"]]
+
+
+def test_goes_on_until_nothing_changes(spark):
+    """Each document shares sentences with the next one only, and the first alone has a label."""
+    last = 6
+    said = lambda s, k: [f"{' '.join(f'{s}{k}{v}{w}' for w in 'bcdfghklmnpq')}.".translate(str.maketrans("0123456789", "aeiouyzxvw")) for v in "rst"]
+    docs = [(100 * i + k, " ".join(said(s, k) + said(s, k + 1)), "x") for i, s in enumerate(("display", "power")) for k in range(last + 1)]
+    assert run(spark, docs, [(0, "display"), (100, "power")]) == {d: {"power" if d >= 100 else "display"} for d, _, _ in docs}
