@@ -1,135 +1,208 @@
-"""Subject areas of documents, by label propagation over a graph of documents.
+"""Subject areas of documents, by label propagation over a graph of documents with verified similar passages.
 
-Two documents are similar by what they say: they are linked through the sentences, and these through the pairs of neighbouring
-words, that they share. The graph is kept in this factored form (document - sentence - phrase), whose edges grow with
-the text, where linking documents directly would grow with its square. A link is verified in each round: a phrase
-carries a subject only if it is said at least as often there as in all other subjects together, over all documents that have one so far, so that phrases of
-no subject (courtesies, times, devices) link nothing. Each round is a few equi-joins and sums:
+A document is a row of passages, its sentences. Two documents are neighbours where passages of theirs have a stretch of five
+words in common (shorter passages: the whole passage). The stretch is the centre of a star that stands for all pairs of its
+documents, so the edges grow with the text and not with its square, and each edge knows the passage it hangs on: a document of
+several subjects is linked to others by each of them apart. An edge is verified twice: stretches met by one hash are
+compared by a second, independent one, and a stretch carries a subject only if at least half of what its documents say for it (by
+rate, so that small subjects aren't swallowed by large ones they go with) is for that subject. Stretches of no subject (courtesies, times,
+devices) link nothing.
 
-    documents -> sentences -> phrases: mass by subject; trusted seeds keep their labels in every round (clamped), other
-        documents give the shares found so far; a sentence whose own subject is clear gives all its mass to it;
-    phrases -> sentences -> documents: evidence by subject, the sentence's subject where one leads, and shares.
+Labels spread in rounds of DataFrame joins, from the seeds on:
 
-Rounds go on until no document's subjects change. If they still do after ``ROUNDS``, the last ones are given and a warning says so.
+    down: documents -> passages without a subject -> stretches: mass by subject; seeds give their labels in every round
+        (clamped), other documents the shares found so far;
+    up: stretches -> passages -> documents: evidence by subject, the passage's subject where one leads clearly, and shares.
 
-A document keeps every subject with at least a quarter of its sentences that speak of any.
+A passage keeps the subject it got, and later rounds look only at those that have none, so each round costs what is
+still open, and the rounds end by themselves when one finds nothing new.
+
+A document keeps every subject with at least a quarter of its sentences that speak of any. A seed keeps exactly its labels, unless
+it is refuted: its own passages were given subjects, and one of its labels to none of them.
 
 Defined results
     * null, empty and blank texts, documents that speak of no subject, and null ids: no rows.
-    * labels of unknown documents or subjects are passed over; a document's several labels share its mass; wrong labels are
-      outvoted in what is reported, since the result counts sentences, also for seeds.
-    * ties of a sentence go to the subject that is first by name. Repeated rows of a document count as one document with all their sentences.
-    * no labels or no documents: an empty result. Extra columns are ignored.
+    * labels of unknown documents or subjects are passed over; a document's several labels share its mass; refuted seeds get what was found.
+    * ties of a passage go to the subject that is first by name. Equal rows of a document count once; different texts under
+      one id count as one document with all their sentences.
+    * no labels, no subjects or no documents: an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
-import unicodedata
-import warnings
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import regex
+import unicodedata
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..cluster import cut, spread
 
-#: Rounds of propagation at most, which only guards against shares that swing for ever; share of a document's sentences that makes a subject.
-ROUNDS, SHARE = 40, 0.25
-#: A phrase carries a subject if it has so much of the phrase's rate over the subjects (mass by the subject's whole mass, so that small
-#: subjects aren't swallowed by large ones that they go with), after so much mass of the whole corpus was mixed in.
+#: Share of a document's sentences that makes a subject; words of a stretch.
+SHARE, STRETCH = 0.25, 5
+#: A stretch carries a subject if it has so much of its rate over the subjects (mass by the subject's whole mass), after so much mass of the whole corpus was mixed in.
 PURE, MIXED = 0.5, 1.0
-#: A sentence's subject leads with this evidence (natural logarithm of odds against chance), and so many times the next.
-LEADS, TIMES = 3.0, 1.5
-#: Subjects, which are held in the plan, at most.
-SUBJECTS = 500
+#: A passage's subject leads with this evidence (1: one stretch of one subject alone; 0: chance), and so many times all others.
+LEADS, TIMES = 0.87, 1.5
 #: Sentences of no subject that every document is taken to have besides, so that one doubtful sentence tells little of it.
 DOUBT = 2.0
+#: Rows of a side that is sent to all executors (about 48 bytes each); a longer one is joined by a shuffle.
+SENT_ROWS = 1_000_000
+#: Words whose hashes a worker remembers; it forgets them beyond, which costs time only.
+WORDS = 1_000_000
 
-_WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _TAG = re.compile(r"<[/!]?[A-Za-z][^<>]*>")
-
-
-def sentences(text: str) -> list[list[str]]:
-    """The sentences of a text as folded words; numbers and names of devices with numbers are alike."""
+_WRAPPED = re.compile(r"\n\s*>?\s*(?=[a-z])(?!\w+:\s)")
+_SPEAKER = re.compile(r"^[^\S\n]*[a-z]+:\s+(?=\S)", re.M)
+_TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)*|[.!?](?=\s)|\n")
+_MARKS = regex.compile(r"\p{M}+")
+_DIGIT = re.compile(r"\d")
+_BREAKS = frozenset(".!?\n")
+#: Odd multipliers of a stretch's words, for the hash that stretches meet by and for the one that verifies.
+_FACTORS = np.random.default_rng(20240611).integers(1, 2**63, (2, STRETCH), dtype=np.uint64) | np.uint64(1)
+
+
+def tokens(text: str) -> list[str]:
+    """Folded words and the marks of sentence ends between them."""
     if "<" in text or "&" in text:
         text = html.unescape(_TAG.sub(" ", text))
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
-    text = re.sub(r"\n\s*>?\s*(?=[a-z])(?!\w+:\s)", " ", text)  # wrapped lines go on with a small letter
-    out = []
-    for s in re.split(r"(?<=[.!?])\s+|\n+", text.replace("’", "'")):
-        words = ["0" if any(c.isdigit() for c in w) else w for w in _WORD.findall(re.sub(r"^\s*\w+:\s+(?=\S)", "", s).lower() if re.match(r"\s*[a-z]+:\s", s) else s.lower())]
-        if len(words) > 1:
-            out.append(words)
-    return out
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", text)).replace("’", "'")
+    return _TOKEN.findall(_SPEAKER.sub("", _WRAPPED.sub(" ", text)).lower())  # wrapped lines go on with a small letter
 
 
-def _said(docs: DataFrame, key: str, text: str) -> DataFrame:
-    kind = docs.schema[key].dataType
+def sentences(text: str) -> list[list[str]]:
+    """The sentences of a text as folded words; numbers and names of devices with numbers are alike."""
+    out: list[list[str]] = [[]]
+    for t in tokens(text):
+        if t in _BREAKS:
+            out.append([])
+        else:
+            out[-1].append("0" if _DIGIT.search(t) else t)
+    return [s for s in out if s]
+
+
+def stretches(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts as word hashes with 0 at sentence ends: each passage's text, its number there, where its stretches end, and their two hashes."""
+    line = np.fromiter((h for r in rows for h in (*r, 0)), np.uint64)
+    of = np.repeat(np.arange(len(rows)), [len(r) + 1 for r in rows])
+    word = line != 0
+    ends = np.flatnonzero(~word)
+    end = ends[np.searchsorted(ends, np.arange(len(line)))]  # of the passage at each place
+    first = word & np.concatenate([[True], ~word[:-1]])
+    at = np.flatnonzero(word & ((np.arange(len(line)) + STRETCH <= end) | first))
+    hashes = np.zeros((2, len(at)), np.uint64)
+    for j in range(STRETCH):
+        w = np.where(at + j < end[at], line[np.minimum(at + j, len(line) - 1)], 0)
+        hashes += w * _FACTORS[:, j : j + 1]
+    hashes ^= hashes >> np.uint64(29)
+    starts = np.flatnonzero(first)
+    bounds = np.append(np.searchsorted(at, starts), len(at))
+    text = of[starts]
+    number = np.arange(len(starts)) - np.searchsorted(text, text)
+    return text, number, bounds, hashes[0].view(np.int64), hashes[1].view(np.int64)
+
+
+def passages(docs: DataFrame, key: str, text: str, *more: str) -> DataFrame:
+    """(doc, more, passage, links): each sentence under a number that holds wherever it is read, with the stretches it is linked by."""
+    fields = docs.select(F.col(key).alias("doc"), *more).schema
 
     def work(batches):
+        known: dict[str, int] = {}
         for batch in batches:
-            ids, said = [], []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for s in sentences(t.as_py()):
-                    ids.append(i)
-                    said.append(" ".join(s))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(said, pa.string())], names=["doc", "said"])
-
-    source = docs.select(F.col(key), F.col(text)).filter(F.col(key).isNotNull() & (F.length(F.trim(text)) > 0))
-    return spread(source).mapInArrow(work, f"doc {kind.simpleString()}, said string")
-
-
-def assign(docs: DataFrame, key: str, text: str, labels: DataFrame, subjects: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+            texts = batch.column(1).to_pylist()
+            rows = []
+            if len(known) > WORDS:
+                known.clear()
+            for t in texts:
+                row = tokens(t)
+                for w in set(row).difference(known):
+                    known[w] = 0 if w in _BREAKS else xxhash.xxh3_64_intdigest("0" if _DIGIT.search(w) else w) or 1
+                rows.append([known[w] for w in row])
+            of, number, bounds, meet, verify = stretches(rows)
+            seeds = np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in texts], np.uint64)
+            ids = (seeds[of] + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+            links = pa.StructArray.from_arrays([pa.array(meet), pa.array(verify)], ["meet", "verify"])
+            take = pa.array(of)
+            kept = [batch.column(i).take(take) for i in (0, *range(2, batch.num_columns))]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(ids), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), links)], names=[*(f.name for f in fields), "passage", "links"])
+
+    source = docs.select(F.col(key), F.col(text), *more).filter(F.col(key).isNotNull() & (F.length(F.trim(text)) > 0))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    return spread(source).mapInArrow(work, f"{schema}, passage bigint, links array<struct<meet:bigint,verify:bigint>>")
+
+
+def _sent(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= SENT_ROWS else df
+
+
+def _share(n: str, doubt: float = 0.0) -> Column:
+    return F.col(n) / (F.sum(n).over(Window.partitionBy("doc")) + doubt)
+
+
+def _verified(mass: DataFrame, of_subject: DataFrame) -> DataFrame:
+    """(meet, verify, s, w) of the stretches whose documents agree on a subject."""
+    summed = mass.groupBy("meet", "verify", "s").agg(F.sum("m").alias("m"))
+    rates = summed.join(of_subject, "s").withColumn("rate", F.col("m") / F.col("of_s"))
+    # the first by name of equal rates
+    top = rates.groupBy("meet", "verify").agg(F.min(F.struct(-F.col("rate"), "s")).alias("top"), F.sum("rate").alias("all"), F.first("base").alias("base"), F.first("k").alias("k"))
+    p = (F.col("base") - F.col("top.col1")) / (F.col("all") + F.col("k") * F.col("base"))
+    weight = F.when(F.col("k") == 1, 1.0).otherwise(F.log(F.col("p") * F.col("k")) / F.log("k"))
+    return top.withColumn("p", p).filter(F.col("p") >= PURE).select("meet", "verify", F.col("top.s").alias("s"), weight.alias("w"))
+
+
+def _judged(links: DataFrame, verified: DataFrame, how: str) -> DataFrame:
+    """(doc, passage, s) of passages; s is null where no subject leads."""
+    evidence = links.join(verified, ["meet", "verify"], how).groupBy("doc", "passage", "s").agg(F.sum("w").alias("w"))
+    best = evidence.groupBy("doc", "passage").agg(F.min(F.struct(-F.coalesce("w", F.lit(0.0)), "s")).alias("top"), F.sum("w").alias("all"))
+    w = -F.col("top.col1")
+    return best.select("doc", "passage", F.when((w >= LEADS) & (w >= TIMES * (F.col("all") - w)), F.col("top.s")).alias("s"))
+
+
+def assign(docs: DataFrame, key: str, text: str, labels: DataFrame, subjects: DataFrame) -> DataFrame:
     """(key, subject) of every document that has one. labels: (key, subject); subjects: (subject)."""
-    names = [r[0] for r in subjects.select("subject").filter("subject IS NOT NULL").distinct().sort("subject").limit(SUBJECTS + 1).collect()]
-    if len(names) > SUBJECTS:
-        raise ValueError(f"more than {SUBJECTS} subjects")
-    if not names:
+    there = docs.filter(F.length(F.trim(text)) > 0).select(F.col(key).alias("doc"))
+    named = labels.select(F.col(key).alias("doc"), F.col("subject").alias("s")).filter("doc IS NOT NULL AND s IS NOT NULL").distinct()
+    seeds = cut(named.join(subjects.select(F.col("subject").alias("s")), "s", "left_semi").join(there, "doc", "left_semi").withColumn("share", 1 / F.count("*").over(Window.partitionBy("doc"))))
+    n_seeds = seeds.count()
+    if not n_seeds:
         return docs.select(F.col(key), F.lit("").alias("subject")).limit(0)
-    number = F.element_at(F.create_map(*(x for i, s in enumerate(names) for x in (F.lit(s), F.lit(i)))), F.col("subject"))
-    rows = cut(_said(docs, key, text).groupBy("doc", "said").agg(F.count("*").cast("int").alias("n")).select("doc", F.xxhash64("said").alias("sentence"), "said", "n"))
-    edges = rows.select("doc", "sentence", "n")
-    words = F.split("said", " ")
-    pairs = F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1)))
-    phrases = cut(rows.groupBy("sentence").agg(F.first("said").alias("said")).select("sentence", F.explode(F.array_distinct(pairs)).alias("phrase")))
-    known = labels.select(F.col(key).alias("doc"), number.alias("s")).filter("s IS NOT NULL AND doc IS NOT NULL").distinct()
-    seeds = known.withColumn("share", 1 / F.count("*").over(Window.partitionBy("doc")))
-    shares, leads, before = seeds, None, None
-    for i in range(rounds):
-        # down: mass of the sentences, and of the phrases, by subject
-        given = edges.join(shares, "doc")
-        if leads is not None:
-            given = given.join(leads.select("sentence", F.col("s").alias("own")), "sentence", "left").filter("own IS NULL OR own = s")
-            given = given.withColumn("share", F.when(F.col("own").isNotNull(), F.lit(1.0)).otherwise(F.col("share")))
-        mass = given.groupBy("sentence", "s").agg(F.sum("share").alias("m"))
-        by_phrase = phrases.join(mass, "sentence").groupBy("phrase", "s").agg(F.sum("m").alias("m"))
-        overall = by_phrase.groupBy("s").agg(F.sum("m").alias("all_s"))  # one row a subject
-        whole = Window.partitionBy(F.lit(1))
-        overall = overall.withColumn("base", MIXED / F.sum("all_s").over(whole)).withColumn("k", F.count("*").over(whole))
-        rates = by_phrase.join(F.broadcast(overall), "s").withColumn("rate", F.col("m") / F.col("all_s"))
-        top = rates.groupBy("phrase").agg(F.max(F.struct("rate", -F.col("s"))).alias("top"), F.sum("rate").alias("every"), F.first("base").alias("base"), F.first("k").alias("k"))
-        p = (F.col("top.rate") + F.col("base")) / (F.col("every") + F.col("k") * F.col("base"))
-        pure = top.withColumn("p", p).filter(F.col("p") >= PURE).select("phrase", (-F.col("top.col2")).alias("s"), F.log(F.col("p") * F.col("k")).alias("w"))
-        # up: the subject of each sentence, and the shares of each document
-        evidence = phrases.join(pure, "phrase").groupBy("sentence", "s").agg(F.sum("w").alias("w"))
-        best = evidence.groupBy("sentence").agg(F.max(F.struct("w", -F.col("s"))).alias("top"), F.sum("w").alias("every"))
-        leads = best.filter((F.col("top.w") >= LEADS) & (F.col("top.w") >= TIMES * (F.col("every") - F.col("top.w")))).select("sentence", (-F.col("top.col2")).alias("s"))
-        leads = cut(leads)
-        counts = edges.join(leads, "sentence").groupBy("doc", "s").agg(F.sum("n").alias("n"))
-        found = counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("doc")))
-        kept = cut(found.filter(F.col("share") >= SHARE).select("doc", "s"))
-        changed = kept.count() if before is None else kept.withColumn("by", F.lit(1)).unionByName(before.withColumn("by", F.lit(-1))).groupBy("doc", "s").agg(F.sum("by").alias("by")).filter("by <> 0").count()
-        before = kept
-        if not changed:
+    exploded = lambda p: p.select(*(c for c in p.columns if c != "links"), F.inline("links"))
+
+    labelled = docs.select(F.col(key), F.col(text)).join(_sent(seeds.groupBy(F.col("doc").alias(key)).agg(F.collect_list(F.struct("s", "share")).alias("said")), n_seeds), key)
+    said = exploded(passages(labelled, key, text, "said")).select("meet", "verify", F.inline("said"))
+    given = cut(said.groupBy("meet", "verify", "s").agg(F.sum("share").alias("m")))  # what the seeds say, in every round
+    every = Window.partitionBy(F.lit(1))  # over one row a subject
+    of_subject = given.groupBy("s").agg(F.sum("m").alias("of_s")).select("s", "of_s", (MIXED / F.sum("of_s").over(every)).alias("base"), F.count("*").over(every).alias("k"))
+    of_subject = cut(of_subject)
+    of_subject = _sent(of_subject, of_subject.count())
+    repeated = bool(there.groupBy("doc").count().filter("count > 1").limit(1).count())
+    once = docs.select(F.col(key), F.col(text)).distinct() if repeated else docs
+    judged = cut(_judged(exploded(passages(once, key, text)), _sent(_verified(given, of_subject), given.count()), "left"))
+    found, missed = judged.filter("s IS NOT NULL"), judged.filter("s IS NULL").select("doc", "passage")
+    counts = cut(found.groupBy("doc", "s").agg(F.count("*").alias("n")))
+    left = cut(passages(once, key, text).join(_sent(missed, missed.count()), ["passage", "doc"], "left_semi"))
+    given = cut(given.join(exploded(left).select("meet", "verify").distinct(), ["meet", "verify"], "left_semi"))
+    while True:
+        # down: what the documents of open passages are about, besides the seeds
+        shares = counts.select("doc", "s", _share("n").alias("part"), _share("n", DOUBT).alias("share")).filter(F.col("part") >= SHARE)
+        own = shares.join(seeds.select("doc").distinct(), "doc", "left_anti").select("doc", "s", "share")  # the seeds speak in given
+        told = exploded(left).join(own, "doc").select("meet", "verify", "s", F.col("share").alias("m"))
+        verified = cut(_verified(told.unionByName(given), of_subject))
+        # up: the passages that now have a subject
+        new = cut(_judged(exploded(left), _sent(verified, verified.count()), "inner").filter("s IS NOT NULL"))
+        if not (n_new := new.count()):
             break
-        if i + 1 < rounds:
-            sure = F.col("n") / (F.sum("n").over(Window.partitionBy("doc")) + DOUBT)
-            own = found.withColumn("sure", sure).join(seeds.select("doc").distinct(), "doc", "left_anti").filter(F.col("share") >= SHARE).select("doc", "s", F.col("sure").alias("share"))
-            shares = cut(seeds.unionByName(own))
-    else:
-        warnings.warn(f"{changed} rows changed still in the last of {rounds} rounds", stacklevel=2)
-    named = F.element_at(F.array(*(F.lit(x) for x in names)), F.col("s") + 1)
-    return kept.select(F.col("doc").alias(key), named.alias("subject"))
+        counts = cut(counts.unionByName(new.groupBy("doc", "s").agg(F.count("*").alias("n"))).groupBy("doc", "s").agg(F.sum("n").alias("n")))
+        left = cut(left.join(_sent(new.select("doc", "passage"), n_new), ["passage", "doc"], "left_anti"))
+    kept = counts.select("doc", "s", _share("n").alias("part")).filter(F.col("part") >= SHARE).select("doc", "s")
+    seen = seeds.join(counts, ["doc", "s"], "left").groupBy("doc").agg(F.count_if(F.col("n").isNull()).alias("unseen"))
+    refuted = seen.filter("unseen > 0").join(counts.select("doc").distinct(), "doc", "left_semi")
+    trusted = seeds.select("doc", "s").join(refuted, "doc", "left_anti")
+    rows = kept.join(trusted, "doc", "left_anti").unionByName(trusted)
+    return rows.select(F.col("doc").alias(key), F.col("s").alias("subject"))

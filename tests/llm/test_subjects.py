@@ -59,3 +59,32 @@ def test_goes_on_until_nothing_changes(spark):
     said = lambda s, k: [f"{' '.join(f'{s}{k}{v}{w}' for w in 'bcdfghklmnpq')}.".translate(str.maketrans("0123456789", "aeiouyzxvw")) for v in "rst"]
     docs = [(100 * i + k, " ".join(said(s, k) + said(s, k + 1)), "x") for i, s in enumerate(("display", "power")) for k in range(last + 1)]
     assert run(spark, docs, [(0, "display"), (100, "power")]) == {d: {"power" if d >= 100 else "display"} for d, _, _ in docs}
+
+
+def test_seeds_keep_their_labels_unless_refuted(spark):
+    rng = random.Random(4)
+    docs, truth = corpus(300, rng)
+    seeds = [i for i in range(60) if truth[i]]
+    labels = [(i, s) for i in seeds for s in truth[i]]
+    wrong = next(i for i in seeds if truth[i] == {"power"})
+    labels = [(i, s) for i, s in labels if i != wrong] + [(wrong, "sound")]
+    got = run(spark, docs, labels)
+    assert all(got[i] == truth[i] for i in seeds if i != wrong)
+    assert got[wrong] == {"power"}
+
+
+def test_any_number_of_subjects_string_ids_and_repeated_rows(spark):
+    docs = [(f"d{i}", " ".join(f"the part called {w} of item {chr(97 + i % 26)}{chr(97 + i // 26)} is {v} again." for w in ("alpha", "beta", "gamma") for v in ("loud", "warm")).replace("item ", "item x"), "x") for i in range(650)]
+    d = spark.createDataFrame(docs + docs[:5] + [(a + "b", t, x) for a, t, x in docs], "doc_id string, text string, subject string")
+    labels = spark.createDataFrame([(f"d{i}", f"s{i:03}") for i in range(650)], "doc_id string, subject string")
+    got = {(r.doc_id, r.subject) for r in S.assign(d, "doc_id", "text", labels, labels.select("subject").distinct()).collect()}
+    assert got == {(f"d{i}{b}", f"s{i:03}") for i in range(650) for b in ("", "b")}
+
+
+def test_numbers_of_passages_hold_and_hashes_meet_on_equal_words(spark):
+    df = spark.createDataFrame([(1, "One two three four five six. Short one. " + "word " * 50_000), (2, "x. One  TWO three four five!"), (3, "")], "doc_id bigint, text string")
+    rows = sorted((r.doc, len(r.links), r.links[0]) for r in S.passages(df, "doc_id", "text").collect())
+    assert [r[:2] for r in rows] == sorted([(1, 2), (1, 1), (1, 49_996), (2, 1), (2, 1)])
+    by = lambda n, k: {r[2] for r in rows if r[0] == n and r[1] == k}
+    assert by(1, 2) & by(2, 1) and not by(1, 1) & by(2, 1)
+    assert {r.passage for r in S.passages(df, "doc_id", "text").collect()} == {r.passage for r in S.passages(df.repartition(3), "doc_id", "text").collect()}
