@@ -59,53 +59,59 @@ WORDS = 1_000_000
 _TAG = re.compile(r"<[/!]?[A-Za-z][^<>]*>")
 _WRAPPED = re.compile(r"\n\s*>?\s*(?=[a-z])(?!\w+:\s)")
 _SPEAKER = re.compile(r"^[^\S\n]*[a-z]+:\s+(?=\S)", re.M)
-_TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)*|[.!?](?=\s)|\n")
 _MARKS = regex.compile(r"\p{M}+")
-_DIGIT = re.compile(r"\d")
-_BREAKS = frozenset(".!?\n")
+_NO_WORD, _DIGIT, _ENDS = re.compile(r"[\W_]+"), re.compile(r"\d"), re.compile(r"[.!?]\W*$")
 #: Odd multipliers of a stretch's words, for the hash that stretches meet by and for the one that verifies.
 _FACTORS = np.random.default_rng(20240611).integers(1, 2**63, (2, STRETCH), dtype=np.uint64) | np.uint64(1)
 
 
-def tokens(text: str) -> list[str]:
-    """Folded words and the marks of sentence ends between them."""
+def chunks(text: str) -> list[str]:
+    """What stands between the spaces of a text; line ends are chunks of their own."""
     if "<" in text or "&" in text:
         text = html.unescape(_TAG.sub(" ", text))
     if not text.isascii():
-        text = _MARKS.sub("", unicodedata.normalize("NFKD", text)).replace("’", "'")
-    return _TOKEN.findall(_SPEAKER.sub("", _WRAPPED.sub(" ", text)).lower())  # wrapped lines go on with a small letter
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", text))
+    return _SPEAKER.sub("", _WRAPPED.sub(" ", text)).lower().replace("\n", " \0 ").split()  # wrapped lines go on with a small letter
+
+
+def word(chunk: str) -> tuple[str, bool]:
+    """The folded word of a chunk ('' for none) and whether a sentence ends behind it; numbers and names with numbers are alike."""
+    w = _NO_WORD.sub("", chunk)
+    return ("0" if _DIGIT.search(w) else w), chunk == "\0" or bool(_ENDS.search(chunk))
 
 
 def sentences(text: str) -> list[list[str]]:
-    """The sentences of a text as folded words; numbers and names of devices with numbers are alike."""
+    """The sentences of a text as folded words."""
     out: list[list[str]] = [[]]
-    for t in tokens(text):
-        if t in _BREAKS:
+    for w, ends in map(word, chunks(text)):
+        if w:
+            out[-1].append(w)
+        if ends:
             out.append([])
-        else:
-            out[-1].append("0" if _DIGIT.search(t) else t)
     return [s for s in out if s]
 
 
-def stretches(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts as word hashes with 0 at sentence ends: each passage's text, its number there, where its stretches end, and their two hashes."""
-    line = np.fromiter((h for r in rows for h in (*r, 0)), np.uint64)
-    of = np.repeat(np.arange(len(rows)), [len(r) + 1 for r in rows])
-    word = line != 0
-    ends = np.flatnonzero(~word)
-    end = ends[np.searchsorted(ends, np.arange(len(line)))]  # of the passage at each place
-    first = word & np.concatenate([[True], ~word[:-1]])
-    at = np.flatnonzero(word & ((np.arange(len(line)) + STRETCH <= end) | first))
+def stretches(words: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of word hashes with 0 at sentence ends, and their texts: each passage's text, its number there, where its stretches end, and their two hashes."""
+    line = np.append(words, np.zeros(STRETCH, np.uint64))
+    ends = np.flatnonzero(line == 0)
+    is_word = words != 0
+    first = is_word & np.concatenate([[True], ~is_word[:-1]])[: len(words)]
+    starts = np.flatnonzero(first)
+    length = ends[np.searchsorted(ends, starts)] - starts
+    n = np.maximum(length - STRETCH + 1, 1)
+    bounds = np.concatenate([[0], np.cumsum(n)])
+    at = np.repeat(starts - bounds[:-1], n) + np.arange(bounds[-1])
+    short = np.repeat(length, n) if (length < STRETCH).any() else None
     hashes = np.zeros((2, len(at)), np.uint64)
     for j in range(STRETCH):
-        w = np.where(at + j < end[at], line[np.minimum(at + j, len(line) - 1)], 0)
+        w = line[at + j]
+        if short is not None:
+            w[short <= j] = 0
         hashes += w * _FACTORS[:, j : j + 1]
     hashes ^= hashes >> np.uint64(29)
-    starts = np.flatnonzero(first)
-    bounds = np.append(np.searchsorted(at, starts), len(at))
-    text = of[starts]
-    number = np.arange(len(starts)) - np.searchsorted(text, text)
-    return text, number, bounds, hashes[0].view(np.int64), hashes[1].view(np.int64)
+    of = text[starts]
+    return of, np.arange(len(starts)) - np.searchsorted(of, of), bounds, hashes[0].view(np.int64), hashes[1].view(np.int64)
 
 
 def passages(docs: DataFrame, key: str, text: str, *more: str) -> DataFrame:
@@ -114,17 +120,26 @@ def passages(docs: DataFrame, key: str, text: str, *more: str) -> DataFrame:
 
     def work(batches):
         known: dict[str, int] = {}
+        hashes: list[int] = []  # a word, 0 for what is none
+        ends: list[bool] = []
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            rows = []
             if len(known) > WORDS:
-                known.clear()
-            for t in texts:
-                row = tokens(t)
-                for w in set(row).difference(known):
-                    known[w] = 0 if w in _BREAKS else xxhash.xxh3_64_intdigest("0" if _DIGIT.search(w) else w) or 1
-                rows.append([known[w] for w in row])
-            of, number, bounds, meet, verify = stretches(rows)
+                known.clear(), hashes.clear(), ends.clear()
+            rows = [chunks(t) for t in texts]
+            for c in set().union(*rows).difference(known):
+                known[c] = len(known)
+                w, end = word(c)
+                hashes.append((xxhash.xxh3_64_intdigest(w) or 1) if w else 0)
+                ends.append(end)
+            ids = np.fromiter((known[c] for r in rows for c in r), np.int64)
+            text = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+            # a word, and behind it a mark where its sentence or text ends
+            line, mark = np.array(hashes, np.uint64)[ids], np.array(ends, bool)[ids]
+            mark[np.flatnonzero(np.append(np.diff(text), 1))] = True
+            both = np.stack([line, np.zeros_like(line)], 1).ravel()
+            keep = np.stack([line != 0, mark], 1).ravel()
+            of, number, bounds, meet, verify = stretches(both[keep], np.repeat(text, 2)[keep])
             seeds = np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in texts], np.uint64)
             ids = (seeds[of] + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
             links = pa.StructArray.from_arrays([pa.array(meet), pa.array(verify)], ["meet", "verify"])
@@ -146,29 +161,36 @@ def _share(n: str, doubt: float = 0.0) -> Column:
 
 
 def _verified(mass: DataFrame, of_subject: DataFrame) -> DataFrame:
-    """(meet, verify, s, w) of the stretches whose documents agree on a subject."""
+    """(at, check, s, w) of the stretches whose documents agree on a subject."""
     summed = mass.groupBy("meet", "verify", "s").agg(F.sum("m").alias("m"))
     rates = summed.join(of_subject, "s").withColumn("rate", F.col("m") / F.col("of_s"))
-    # the first by name of equal rates
-    top = rates.groupBy("meet", "verify").agg(F.min(F.struct(-F.col("rate"), "s")).alias("top"), F.sum("rate").alias("all"), F.first("base").alias("base"), F.first("k").alias("k"))
-    p = (F.col("base") - F.col("top.col1")) / (F.col("all") + F.col("k") * F.col("base"))
+    top = rates.groupBy("meet", "verify").agg(F.max("rate").alias("most"), _first("rate").alias("s"), F.sum("rate").alias("all"), F.max("base").alias("base"), F.max("k").alias("k"))
+    p = (F.col("base") + F.col("most")) / (F.col("all") + F.col("k") * F.col("base"))
     weight = F.when(F.col("k") == 1, 1.0).otherwise(F.log(F.col("p") * F.col("k")) / F.log("k"))
-    return top.withColumn("p", p).filter(F.col("p") >= PURE).select("meet", "verify", F.col("top.s").alias("s"), weight.alias("w"))
+    return top.withColumn("p", p).filter(F.col("p") >= PURE).select(F.col("meet").alias("at"), F.col("verify").alias("check"), "s", weight.alias("w"))
+
 
+def _first(of: str) -> Column:
+    """The subject with the most, and of equals the first by name; a difference this small is none."""
+    return F.max_by("s", F.col(of) * (1 - F.col("s") * 1e-12))
 
-def _judged(links: DataFrame, verified: DataFrame, how: str) -> DataFrame:
-    """(doc, passage, s) of passages; s is null where no subject leads."""
-    evidence = links.join(verified, ["meet", "verify"], how).groupBy("doc", "passage", "s").agg(F.sum("w").alias("w"))
-    best = evidence.groupBy("doc", "passage").agg(F.min(F.struct(-F.coalesce("w", F.lit(0.0)), "s")).alias("top"), F.sum("w").alias("all"))
-    w = -F.col("top.col1")
-    return best.select("doc", "passage", F.when((w >= LEADS) & (w >= TIMES * (F.col("all") - w)), F.col("top.s")).alias("s"))
+
+def _judged(links: DataFrame, verified: DataFrame, how: str, *of: str) -> DataFrame:
+    """(of, s) of passages; s is null where no subject leads."""
+    # joined on one number, which is the cheapest key; the other is compared where that agrees
+    met = links.join(verified, F.expr("meet = at AND (verify ^ check) = 0"), how)
+    evidence = met.groupBy(*of, "s").agg(F.sum("w").alias("w"))
+    best = evidence.groupBy(*of).agg(F.max("w").alias("most"), _first("w").alias("s"), F.sum("w").alias("all"))
+    return best.select(*of, F.when((F.col("most") >= LEADS) & (F.col("most") >= TIMES * (F.col("all") - F.col("most"))), F.col("s")).alias("s"))
 
 
 def assign(docs: DataFrame, key: str, text: str, labels: DataFrame, subjects: DataFrame) -> DataFrame:
     """(key, subject) of every document that has one. labels: (key, subject); subjects: (subject)."""
-    there = docs.filter(F.length(F.trim(text)) > 0).select(F.col(key).alias("doc"))
-    named = labels.select(F.col(key).alias("doc"), F.col("subject").alias("s")).filter("doc IS NOT NULL AND s IS NOT NULL").distinct()
-    seeds = cut(named.join(subjects.select(F.col("subject").alias("s")), "s", "left_semi").join(there, "doc", "left_semi").withColumn("share", 1 / F.count("*").over(Window.partitionBy("doc"))))
+    every = Window.partitionBy(F.lit(1))  # over one row a subject
+    names = cut(subjects.select("subject").filter("subject IS NOT NULL").distinct().withColumn("s", F.row_number().over(every.orderBy("subject")) - 1))
+    n_names = names.count()
+    named = labels.select(F.col(key).alias("doc"), "subject").filter("doc IS NOT NULL").distinct().join(_sent(names, n_names), "subject")
+    seeds = cut(named.join(docs.select(F.col(key).alias("doc")), "doc", "left_semi").select("doc", "s", (1 / F.count("*").over(Window.partitionBy("doc"))).alias("share")))
     n_seeds = seeds.count()
     if not n_seeds:
         return docs.select(F.col(key), F.lit("").alias("subject")).limit(0)
@@ -177,32 +199,39 @@ def assign(docs: DataFrame, key: str, text: str, labels: DataFrame, subjects: Da
     labelled = docs.select(F.col(key), F.col(text)).join(_sent(seeds.groupBy(F.col("doc").alias(key)).agg(F.collect_list(F.struct("s", "share")).alias("said")), n_seeds), key)
     said = exploded(passages(labelled, key, text, "said")).select("meet", "verify", F.inline("said"))
     given = cut(said.groupBy("meet", "verify", "s").agg(F.sum("share").alias("m")))  # what the seeds say, in every round
-    every = Window.partitionBy(F.lit(1))  # over one row a subject
     of_subject = given.groupBy("s").agg(F.sum("m").alias("of_s")).select("s", "of_s", (MIXED / F.sum("of_s").over(every)).alias("base"), F.count("*").over(every).alias("k"))
-    of_subject = cut(of_subject)
-    of_subject = _sent(of_subject, of_subject.count())
-    repeated = bool(there.groupBy("doc").count().filter("count > 1").limit(1).count())
+    of_subject = _sent(cut(of_subject), n_names)
+
+    repeated = bool(docs.groupBy(key).count().filter("count > 1").limit(1).count())
     once = docs.select(F.col(key), F.col(text)).distinct() if repeated else docs
-    judged = cut(_judged(exploded(passages(once, key, text)), _sent(_verified(given, of_subject), given.count()), "left"))
-    found, missed = judged.filter("s IS NOT NULL"), judged.filter("s IS NULL").select("doc", "passage")
-    counts = cut(found.groupBy("doc", "s").agg(F.count("*").alias("n")))
-    left = cut(passages(once, key, text).join(_sent(missed, missed.count()), ["passage", "doc"], "left_semi"))
-    given = cut(given.join(exploded(left).select("meet", "verify").distinct(), ["meet", "verify"], "left_semi"))
+    judged = cut(_judged(exploded(passages(once, key, text)), _sent(_verified(given, of_subject), given.count()), "left", "doc", "passage"))
+    counts = cut(judged.filter("s IS NOT NULL").groupBy("doc", "s").agg(F.count("*").alias("n")))
+    missed = judged.filter("s IS NULL").select("doc", "passage")
+    # passages alike in all their stretches get the same subject, and are one row from here on
+    open_ = passages(once, key, text).join(_sent(missed, missed.count()), ["passage", "doc"], "left_semi")
+    open_ = cut(open_.withColumn("alike", F.xxhash64("links")).withColumn("too", F.xxhash64(F.lit(1), "links")).groupBy("doc", "alike", "too").agg(F.first("links").alias("links"), F.count("*").alias("n")))
+    kinds = cut(open_.groupBy("alike", "too").agg(F.first("links").alias("links")))
+    left = open_.select("doc", "alike", "too", "n")
+    given = cut(given.join(exploded(kinds).select("meet", "verify").distinct(), ["meet", "verify"], "left_semi"))
     while True:
-        # down: what the documents of open passages are about, besides the seeds
+        # down: what the documents of open passages are about, besides the seeds, which speak in given
         shares = counts.select("doc", "s", _share("n").alias("part"), _share("n", DOUBT).alias("share")).filter(F.col("part") >= SHARE)
-        own = shares.join(seeds.select("doc").distinct(), "doc", "left_anti").select("doc", "s", "share")  # the seeds speak in given
-        told = exploded(left).join(own, "doc").select("meet", "verify", "s", F.col("share").alias("m"))
+        own = shares.join(seeds.select("doc").distinct(), "doc", "left_anti").select("doc", "s", "share")
+        told = left.join(own, "doc").groupBy("alike", "too", "s").agg(F.sum(F.col("n") * F.col("share")).alias("m"))
+        told = exploded(told.join(kinds, ["alike", "too"])).select("meet", "verify", "s", "m")
         verified = cut(_verified(told.unionByName(given), of_subject))
         # up: the passages that now have a subject
-        new = cut(_judged(exploded(left), _sent(verified, verified.count()), "inner").filter("s IS NOT NULL"))
+        new = cut(_judged(exploded(kinds), _sent(verified, verified.count()), "inner", "alike", "too").filter("s IS NOT NULL"))
         if not (n_new := new.count()):
             break
-        counts = cut(counts.unionByName(new.groupBy("doc", "s").agg(F.count("*").alias("n"))).groupBy("doc", "s").agg(F.sum("n").alias("n")))
-        left = cut(left.join(_sent(new.select("doc", "passage"), n_new), ["passage", "doc"], "left_anti"))
+        gained = left.join(_sent(new, n_new), ["alike", "too"]).groupBy("doc", "s").agg(F.sum("n").alias("n"))
+        counts = cut(counts.unionByName(gained).groupBy("doc", "s").agg(F.sum("n").alias("n")))
+        gone = _sent(new.select("alike", "too"), n_new)
+        left, kinds = left.join(gone, ["alike", "too"], "left_anti"), cut(kinds.join(gone, ["alike", "too"], "left_anti"))
     kept = counts.select("doc", "s", _share("n").alias("part")).filter(F.col("part") >= SHARE).select("doc", "s")
-    seen = seeds.join(counts, ["doc", "s"], "left").groupBy("doc").agg(F.count_if(F.col("n").isNull()).alias("unseen"))
+    spoken = seeds.join(judged.select("doc").distinct(), "doc", "left_semi")  # not of empty documents
+    seen = spoken.join(counts, ["doc", "s"], "left").groupBy("doc").agg(F.count_if(F.col("n").isNull()).alias("unseen"))
     refuted = seen.filter("unseen > 0").join(counts.select("doc").distinct(), "doc", "left_semi")
-    trusted = seeds.select("doc", "s").join(refuted, "doc", "left_anti")
+    trusted = spoken.select("doc", "s").join(refuted, "doc", "left_anti")
     rows = kept.join(trusted, "doc", "left_anti").unionByName(trusted)
-    return rows.select(F.col("doc").alias(key), F.col("s").alias("subject"))
+    return rows.join(_sent(names, n_names), "s").select(F.col("doc").alias(key), "subject")
