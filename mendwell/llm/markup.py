@@ -3,8 +3,9 @@
 An article is read once, line by line. What must not be read as markup (comments, scripts, styles, code, formulas, escaped
 marks) is set aside by one left-to-right scan; the lines are then fed to the standard library's streaming HTML parser,
 whose events give each line's tags and text, while the marks of the other notations are read at the line's start. Each
-line's ratio of text to tags is smoothed with a Gaussian and the lines are clustered by a threshold between two means;
-lines below it that are mostly tags and bear no element aren't content. Headings, list items, code blocks and formulas always are.
+line's ratio of text to tags is smoothed with a Gaussian and the lines are clustered by a threshold between two means. Lines
+below it that are mostly tags make up the regions that aren't content: their text is left out, and so are their headings and list items if nothing but
+links stands in them (menus, crumbs, footers). Code blocks and formulas, and elements with words of their own, are content wherever they stand.
 
 Defined results
     * null, empty and blank contents: empty text and no elements. Unmarked text stays as it is, with line ends unified.
@@ -22,6 +23,7 @@ import math
 import re
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,6 +65,7 @@ _RULE = re.compile(r"\s*(?:(?:-\s*){3,}|(?:\*\s*){3,}|(?:_\s*){3,})$")
 _EQUALS = re.compile(r"(={1,6})\s*([^=\s].*?)\s*\1\s*$")
 _SECTION = re.compile(r"\\(?:part|chapter|(?:sub)*section|(?:sub)?paragraph)\*?\s*(?:\[[^\]]*\])?\{")
 _UNDERLINE = re.compile(r" {0,3}(?:={2,}|-{2,})[ \t]*$")
+_BRACES = re.compile(r"\\[a-zA-Z]+\*?(?:\[[^\]]*\])?\{|[{}]")
 
 
 _IMAGE, _LINK, _STRUCK = re.compile(r"!\[[^\]]*\]\([^()]*\)"), re.compile(r"\[([^\[\]]*)\]\([^()]*\)"), re.compile(r"~~(.+?)~~ ?")
@@ -78,7 +81,11 @@ class _Line(HTMLParser):
         self.begin()
 
     def begin(self):
-        self.tags, self.marks, self.parts = 0, [], []
+        self.tags, self.linked, self.marks, self.parts = 0, 0, [], []
+
+    def reset(self):
+        super().reset()
+        self.within = 0  # open links
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
@@ -88,12 +95,20 @@ class _Line(HTMLParser):
             self.marks.append("list_item")
         elif tag in ("p", "div", "br", "td", "tr", "th"):
             self.parts.append(" ")
+        if tag == "a":
+            self.within = 1
+        elif tag in ("p", "div", "li", "ul", "ol", "table", "body"):
+            self.within = 0  # a link that was never closed
 
     def handle_endtag(self, tag):
         self.tags += 1
+        if tag == "a":
+            self.within = 0
 
     def handle_data(self, data):
         self.parts.append(data)
+        if self.within:
+            self.linked += len(data.strip())
 
     def handle_entityref(self, name):
         self.parts.append(html.unescape(f"&{name};"))
@@ -116,15 +131,29 @@ def notation(text: str) -> str:
     return "markdown"
 
 
+def _unwrapped(text: str) -> str:
+    """Without the commands around their arguments, however deep; what isn't closed stays."""
+    opened: list[tuple[int, int] | None] = []
+    gone: list[tuple[int, int]] = []
+    for m in _BRACES.finditer(text):
+        if m.group() != "}":
+            opened.append(m.span() if m.group() != "{" else None)
+        elif opened and (command := opened.pop()):
+            gone += [command, m.span()]
+    out, at = [], 0
+    for a, b in sorted(gone):
+        out.append(text[at:a])
+        at = b
+    return "".join(out) + text[at:]
+
+
 def _inline(text: str, kind: str) -> str:
     """Without the marks of emphasis, links and notes."""
     if kind == "latex":
         text = re.sub(r"\\(?:footnote|label|ref|cite)\{[^{}]*\}", "", text)
         text = re.sub(r"\\href\{[^{}]*\}\{([^{}]*)\}", r"\1", text)
         text = re.sub(r"\\(?:begin|end)\{[^{}]*\}(?:\[[^\]]*\])?", "", text)
-        for _ in range(3):
-            text = re.sub(r"\\[a-zA-Z]+\*?(?:\[[^\]]*\])?\{([^{}]*)\}", r"\1", text)
-        return text.replace("~", " ").replace("\\\\", " ")
+        return _unwrapped(text).replace("~", " ").replace("\\\\", " ")
     if kind == "wiki":
         text = re.sub(r"\{\{[^{}]*\}\}", "", text)
         text = re.sub(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]", r"\1", text)
@@ -143,8 +172,8 @@ def _payload(source: str, kind: str) -> str:
     return html.unescape(source).strip("\n" if kind == _CODE else None)
 
 
-def elements(text: str | None) -> list[tuple[list[str], str, int]]:
-    """The lines of an article as (elements in reading order, text, tags); the text is prefixed by the first element's mark."""
+def elements(text: str | None) -> list[tuple[list[str], str, int, int]]:
+    """The lines of an article as (elements in reading order, text, tags, letters within links); the text is prefixed by the first element's mark."""
     if not text or not text.strip():
         return []
     text = re.sub("[\ue001-\ue004]", "", text.replace("\r\n", "\n").replace("\r", "\n"))
@@ -162,19 +191,19 @@ def elements(text: str | None) -> list[tuple[list[str], str, int]]:
         return f"{mark}{len(held) - 1}{_END}"
 
     text = _SCAN[kind].sub(aside, text)
-    out: list[tuple[list[str], str, int]] = []
+    out: list[tuple[list[str], str, int, int]] = []
     parser, before = _Line(), ""  # before: what the line above is: '', 'text', 'list', 'other'
     for line in text.split("\n"):
         marks: list[str] = []
         body = line
         if not line.strip():
             before = ""
-            out.append(([], "", 0))
+            out.append(([], "", 0, 0))
             continue
         item = _LIST[kind].match(line)
         if kind == "markdown":
             if before == "text" and _UNDERLINE.match(line) and out:
-                out[-1] = (["heading", *out[-1][0]], "# " + out[-1][1], out[-1][2])
+                out[-1] = (["heading", *out[-1][0]], "# " + out[-1][1], *out[-1][2:])
                 before = "other"
                 continue
             if _RULE.match(line):
@@ -194,10 +223,13 @@ def elements(text: str | None) -> list[tuple[list[str], str, int]]:
             body = re.sub(r"\\item\b\s*(?:\[[^\]]*\])?", lambda m: marks.append("list_item") or " ", body)
             body = body.replace("<", "&lt;")
         parser.begin()
-        parser.feed((_NO_TAG.sub("&lt;", body) if "<" in body else body) + "\n")
+        if "<" in body or "&" in body or parser.rawdata:
+            parser.feed((_NO_TAG.sub("&lt;", body) if "<" in body else body) + "\n")
+        else:
+            parser.handle_data(body)
         shown = "".join(parser.parts)
         marks += parser.marks
-        for m in _HELD.finditer(shown):
+        for m in _HELD.finditer(shown) if _END in shown else ():
             if m.group(1) != _TEXT:
                 marks.append("code_block" if m.group(1) == _CODE else "formula")
         shown = _inline(_ADDRESS.sub("", shown) if "<http" in shown else shown, kind)
@@ -215,39 +247,43 @@ def elements(text: str | None) -> list[tuple[list[str], str, int]]:
             shown = "# " + shown
         elif marks[:1] == ["list_item"]:
             shown = "- " + shown
-        out.append((marks, shown, parser.tags))
+        out.append((marks, shown, parser.tags, parser.linked))
         before = "list" if item and marks else "other" if marks or parser.tags and not shown else "list" if before == "list" else "text"
     return out
 
 
-def content(lines: list[tuple[list[str], str, int]]) -> list[bool]:
+def content(lines: list[tuple[list[str], str, int, int]]) -> list[bool]:
     """Which lines are content: by the smoothed ratio of text to tags, parted at the middle of two means."""
-    if not any(n for _, _, n in lines):
+    if not any(n for _, _, n, _ in lines):
         return [True] * len(lines)  # without tags nothing is mostly tags
-    ratios = [len(t) / max(1, n) for _, t, n in lines]
+    ratios = [len(t) / max(1, n) for _, t, n, _ in lines]
     reach = math.ceil(3 * SIGMA)
-    weights = [math.exp(-(d * d) / (2 * SIGMA * SIGMA)) for d in range(-reach, reach + 1)]
-    smooth = []
-    for i in range(len(ratios)):
-        near = [(ratios[i + d], weights[d + reach]) for d in range(-reach, reach + 1) if 0 <= i + d < len(ratios)]
-        smooth.append(sum(r * w for r, w in near) / sum(w for _, w in near))
-    low, high = min(smooth, default=0), max(smooth, default=0)
-    for _ in range(20):
-        part = (low + high) / 2
-        under, over = [x for x in smooth if x <= part], [x for x in smooth if x > part]
-        moved = (sum(under) / len(under) if under else low, sum(over) / len(over) if over else high)
-        if moved == (low, high):
+    weights = np.exp(-np.arange(-reach, reach + 1) ** 2 / (2 * SIGMA * SIGMA))
+    smooth = np.convolve(ratios, weights)[reach:-reach] / np.convolve(np.ones(len(ratios)), weights)[reach:-reach]
+    order = np.sort(smooth)
+    total = np.concatenate([[0.0], np.cumsum(order)])
+    low, high, n_low = order[0], order[-1], -1
+    while True:  # until the parts stay as they are
+        n = int(np.searchsorted(order, (low + high) / 2, "right"))
+        if n in (n_low, 0, len(order)):
             break
-        low, high = moved
+        n_low, low, high = n, total[n] / n, (total[-1] - total[n]) / (len(order) - n)
     part = (low + high) / 2
-    return [bool(marks) or not (s <= part and n and len(t) < SPARSE * n) for (marks, t, n), s in zip(lines, smooth)]
+    return [not (s <= part and n and len(t) < SPARSE * n and _empty_of_words(marks, t, linked)) for (marks, t, n, linked), s in zip(lines, smooth.tolist())]
+
+
+def _empty_of_words(marks: list[str], text: str, linked: int) -> bool:
+    """Whether a sparse line has no element, or only headings and items that are links."""
+    if not marks:
+        return True
+    return linked > 0 and not {"code_block", "formula"} & set(marks) and len(re.sub(r"^[#-] |\W+", "", text)) <= linked
 
 
 def clean(text: str | None) -> tuple[str, list[str]]:
     """The clean text of an article and its elements in reading order."""
     lines = elements(text)
     kept = [x for x, good in zip(lines, content(lines)) if good]
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(t for _, t, _ in kept)).strip("\n"), [m for marks, _, _ in kept for m in marks]
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(x[1] for x in kept)).strip("\n"), [m for x in kept for m in x[0]]
 
 
 def _over(df: DataFrame, key: str, text: str, rows, fields: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import pytest
@@ -43,3 +44,45 @@ def test_frames(spark):
     assert sorted(map(tuple, M.found(df, "siis_id", "content").collect())) == [(1, "heading", 1), (1, "heading", 1), (1, "list_item", 1), (1, "list_item", 2)]
     assert M.texts(df, "siis_id", "content").count() == 6
     assert M.found(df.limit(0), "siis_id", "content").count() == 0
+
+
+def planted(rng):
+    """An article with menus, crumbs and a footer around and between its own lines: (source, own lines, own elements)."""
+    said = [f"Step {i} says in whole words what is to be done with the {w} before anything else is tried." for i, w in enumerate(("tray", "cover", "cable", "panel", "clock"))]
+    menu = ["<ul class=m>", *(f"<li><a href='/{i}'><b>{w}</b></a></li>" for i, w in enumerate(("Home", "Shop", "Help", "Press", "Jobs"))), "</ul>"]
+    crumbs = ["<div><a href=/>up</a> <a href=/a>on</a> <a href=/b>top</a></div>", "<div><span></span><img src=x><br></div>"]
+    own = ["<h1>Trays and covers of all kinds</h1>", *(f"<p>{s}</p>" for s in said), "<ol>", *(f"<li>{s}</li>" for s in said[:3]), "</ol>", "<p>" + " ".join(said) + "</p>"]
+    at = rng.randrange(3, 6)
+    return "\n".join(menu + crumbs + own[:at] + crumbs + own[at:] + menu + crumbs), ["# Trays and covers of all kinds", *said, *("- " + s for s in said[:3]), " ".join(said)], ["heading"] + ["list_item"] * 3
+
+
+def test_regions_decide_texts_and_elements(monkeypatch):
+    rng = random.Random(1)
+    cases = [planted(rng) for _ in range(20)]
+
+    def right():
+        got = [M.clean(source) for source, _, _ in cases]
+        texts = sum([x for x in text.split("\n") if x.strip()] == own for (text, _), (_, own, _) in zip(got, cases))
+        return texts, sum(marks == own for (_, marks), (_, _, own) in zip(got, cases))
+
+    assert right() == (20, 20)
+    monkeypatch.setattr(M, "content", lambda lines: [True] * len(lines))
+    assert right() == (0, 0)
+
+
+def test_links_within_words_and_lone_lists_of_links_stay():
+    source = "<p>" + "Long enough text of an article. " * 5 + "</p>\n<ul>\n<li>Open <a href=x>the list</a> and wait for the light to go out</li>\n<li><a href=x>The whole of this item is a link, and long enough to be one that is read</a></li>\n</ul>"
+    assert M.clean(source)[1] == ["list_item", "list_item"]
+    assert M.clean("- [choose](https://help.example/975)\n- [x](y)")[1] == ["list_item", "list_item"]
+
+
+def test_commands_are_unwrapped_however_deep():
+    deep = 5000
+    assert M.clean("\\section{A}\n" + "\\emph{" * deep + "word" + "}" * deep + " \\textbf{open {x}")[0] == "# A\nword \\textbf{open {x}"
+    assert M.clean("\\section{A}\n\\textbf{a {b} \\emph{c}} d")[0] == "# A\na {b} c d"
+
+
+def test_two_means_settle():
+    lines = [([], "x" * (3 + i % 7), 4, 0) for i in range(300)] + [([], "y" * (300 + i), 1, 0) for i in range(300)]
+    kept = M.content(lines)
+    assert not any(kept[:290]) and all(kept[310:])
