@@ -1,8 +1,9 @@
 """Lexical, dense and hybrid search, and the screen that a group of steps leads to.
 
-The index is tables: postings (doc, term, tf), document frequencies, one row of totals, and hashed n-gram weights
-(doc, bucket, w). Queries meet it on equal terms and buckets only. The one place where every document is a candidate is the
-widened pool of queries with few lexical hits; there the catalog, whose size is checked, is sent to the queries.
+The index is tables: postings (doc, term, tf), document frequencies, one row of totals, and hashed n-gram vectors. Queries
+meet postings on equal terms. Vectors meet in blocks: queries and documents are dealt into blocks of bounded size, each pair of blocks
+is one product of matrices, and only the k best of each query leave it. So a catalog of any size is searched exactly, also by
+queries with few lexical hits, whose pool is the whole catalog.
 
 Defined results: texts without terms have no hits; documents without terms are never lexical hits; ties of the score go to
 the first matching query term, then the smaller document id; null texts count as empty.
@@ -10,6 +11,9 @@ the first matching query term, then the smaller document id; null texts count as
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +23,8 @@ from ..functions import text as T
 from ..functions.dialect import Spark, frame
 
 D = Spark()
-#: Documents of a catalog that may be sent to all queries.
-CATALOG_ROWS = 100_000
+#: Queries, and documents, of one block.
+BLOCK_ROWS = 1024
 
 
 def rounded(x, digits: int = 6):
@@ -56,16 +60,33 @@ def idf(n, df):
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def bm25(queries: DataFrame, q: str, docs: DataFrame, doc: str, text: str = "text", query_text: str = "text") -> DataFrame:
-    """(q, doc, bm25, coverage, first_ord): lexical hits with their Okapi score and the share of the query's idf they hold."""
+def index(docs: DataFrame, doc: str, text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Postings, document frequencies and totals."""
     posts = postings(docs, doc, text)
-    df, tot = frequencies(posts), F.broadcast(totals(docs, doc, text))
-    terms = query_terms(queries, q, query_text).join(df, "term", "left").crossJoin(tot).withColumn("df", F.coalesce("df", F.lit(0))).withColumn("idf", idf(F.col("n_docs"), F.col("df")))
-    all_idf = terms.groupBy(q).agg(F.sum("idf").alias("all_idf"))
+    return posts, frequencies(posts), totals(docs, doc, text)
+
+
+def weighted_terms(queries: DataFrame, q: str, query_text: str, indexed: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
+    """(q, term, ord, idf, n_docs, avg_len) of each query's terms."""
+    _, df, tot = indexed
+    return query_terms(queries, q, query_text).join(df, "term", "left").crossJoin(F.broadcast(tot)).withColumn("idf", idf(F.col("n_docs"), F.coalesce("df", F.lit(0)))).drop("df")
+
+
+def coverage(queries: DataFrame, q: str, doc: str, query_text: str, indexed: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
+    """(q, doc, coverage): the share of the query's idf that the document holds."""
+    terms = weighted_terms(queries, q, query_text, indexed)
+    whole = terms.withColumn("all_idf", F.sum("idf").over(Window.partitionBy(q)))
+    return whole.join(indexed[0], "term").groupBy(q, doc).agg((F.sum("idf") / F.max("all_idf")).alias("coverage"))
+
+
+def bm25(queries: DataFrame, q: str, docs: DataFrame, doc: str, text: str = "text", query_text: str = "text", indexed: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(q, doc, bm25, coverage, first_ord): lexical hits with their Okapi score and the share of the query's idf they hold."""
+    indexed = indexed or index(docs, doc, text)
+    terms = weighted_terms(queries, q, query_text, indexed).withColumn("all_idf", F.sum("idf").over(Window.partitionBy(q)))
     f = F.col("tf").cast("double")
     norm = f + C.K1 * (1 - C.B + C.B * (F.col("len") / F.col("avg_len")))
-    hits = terms.join(posts, "term").groupBy(q, doc).agg(F.sum(F.col("idf") * (f * (C.K1 + 1)) / norm).alias("bm25"), F.sum("idf").alias("held"), F.min("ord").alias("first_ord"))
-    return hits.join(all_idf, q).select(q, doc, "bm25", (F.col("held") / F.col("all_idf")).alias("coverage"), "first_ord")
+    hits = terms.join(indexed[0], "term").groupBy(q, doc).agg(F.sum(F.col("idf") * (f * (C.K1 + 1)) / norm).alias("bm25"), F.sum("idf").alias("held"), F.max("all_idf").alias("all_idf"), F.min("ord").alias("first_ord"))
+    return hits.select(q, doc, "bm25", (F.col("held") / F.col("all_idf")).alias("coverage"), "first_ord")
 
 
 def best(df: DataFrame, q: str, doc: str, score: str, k: int) -> DataFrame:
@@ -84,28 +105,121 @@ def buckets(df: DataFrame, key: str, text: str) -> DataFrame:
     return counts.select(key, "bucket", (F.col("c") / F.sqrt(F.sum(F.col("c") * F.col("c")).over(Window.partitionBy(key)))).alias("w"))
 
 
-def dense(queries: DataFrame, q: str, docs: DataFrame, doc: str, text: str = "text", query_text: str = "text") -> DataFrame:
-    """(q, doc, dense): cosine of the pairs that share a bucket."""
-    a, b = buckets(queries, q, query_text), buckets(docs, doc, text).select(doc, "bucket", F.col("w").alias("v"))
-    return a.join(b, "bucket").groupBy(q, doc).agg(F.sum(F.col("w") * F.col("v")).alias("dense"))
+def vectors(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, at, w): the weights of a text's buckets."""
+    packed = buckets(df, key, text).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("bucket", "w"))).alias("bw"))
+    return packed.select(key, F.col("bw.bucket").cast("array<int>").alias("at"), F.col("bw.w").alias("w"))
+
+
+def _block(key: str, n):
+    return F.pmod(F.xxhash64(key), F.ceil(n / BLOCK_ROWS)).cast("int")
+
+
+def _matrix(at: pa.ChunkedArray, w: pa.ChunkedArray) -> np.ndarray:
+    """Rows of C.BUCKETS weights; a null is a row of nothing."""
+    at, w = at.combine_chunks(), w.combine_chunks()
+    out = np.zeros((len(at), C.BUCKETS))
+    n = np.diff(at.offsets.to_numpy()) if not at.null_count else np.array([0 if x is None else x for x in pc.list_value_length(at).to_pylist()])
+    out[np.repeat(np.arange(len(at)), n), at.flatten().to_numpy()] = w.flatten().to_numpy()
+    return out
 
 
 def search(queries: DataFrame, q: str, docs: DataFrame, doc: str, k: int = 5, alpha: float = C.ALPHA, text: str = "text", query_text: str = "text", leaf_text: str | None = None) -> DataFrame:
     """(q, doc, score, keyword, dense, coverage, rank): the k best of the fused scores of each query with terms.
 
-    leaf_text: a column of the queries whose terms the coverage is taken of, instead of the whole query's.
+    leaf_text: a column of the queries whose terms the coverage is taken of, instead of the whole query's. Ids of documents are numbers.
     """
-    if docs.count() > CATALOG_ROWS:
-        raise ValueError(f"a catalog of more than {CATALOG_ROWS} rows; use bm25")
-    lexical = bm25(queries, q, docs, doc, text, query_text)
+    indexed = tuple(map(cut, index(docs, doc, text)))
+    lexical = bm25(queries, q, docs, doc, text, query_text, indexed)
     if leaf_text:
-        lexical = lexical.drop("coverage").join(bm25(queries, q, docs, doc, text, leaf_text).select(q, doc, "coverage"), [q, doc], "left")
-    n = query_terms(queries, q, query_text).select(q).distinct().join(lexical.groupBy(q).agg(F.count("*").alias("n")), q, "left").select(q, F.coalesce("n", F.lit(0)).alias("n"))
-    pool = n.filter(F.col("n") < C.WIDEN).select(q).crossJoin(F.broadcast(docs.select(doc))).select(q, doc).unionByName(n.filter(F.col("n") >= C.WIDEN).select(q).join(lexical.select(q, doc), q))
-    top = F.greatest(F.max("bm25").over(Window.partitionBy(q)), F.lit(1e-9))
-    rows = pool.join(lexical, [q, doc], "left").join(dense(queries, q, docs, doc, text, query_text), [q, doc], "left")
-    scored = rows.withColumn("keyword", F.coalesce(F.col("bm25") / top, F.lit(0.0))).withColumn("dense", F.coalesce("dense", F.lit(0.0))).withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))
-    return best(scored.withColumn("score", alpha * F.col("keyword") + (1 - alpha) * F.col("dense")), q, doc, "score", k).select(q, doc, "score", "keyword", "dense", "coverage", "rank")
+        lexical = lexical.drop("coverage").join(coverage(queries, q, doc, leaf_text, indexed), [q, doc], "left")
+    with_terms = query_terms(queries, q, query_text).select(q).distinct()
+    counts = lexical.groupBy(q).agg(F.count("*").alias("n"), F.max("bm25").alias("top"))
+    blocks = F.broadcast(with_terms.agg(F.greatest(F.count("*"), F.lit(1)).alias("n_q")).crossJoin(indexed[2].select(F.greatest("n_docs", F.lit(1)).alias("n_d"))))  # one row
+    asked = cut(with_terms.join(counts, q, "left").join(vectors(queries, q, query_text), q, "left").crossJoin(blocks).withColumn("qb", _block(q, F.col("n_q"))).withColumn("wide", F.coalesce("n", F.lit(0)) < C.WIDEN))
+    hits = cut(lexical.join(asked.select(q, "qb", "n_d"), q).withColumn("db", _block(doc, F.col("n_d"))))
+    # each query goes to the blocks that hold a hit of it; one with few hits goes to all
+    told = ["qb", "db", q, F.greatest("top", F.lit(1e-9)).alias("top"), "wide", "at", "w"]
+    sent = asked.filter("wide").withColumn("db", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n_d") / BLOCK_ROWS).cast("int") - 1))).select(*told)
+    sent = sent.unionByName(asked.filter("NOT wide").join(hits.select(q, "db").distinct(), q).select(*told))
+    none = {doc: docs.schema[doc].dataType, "bm25": "double", "coverage": "double", "first_ord": "int"}
+    left = sent.select("*", *(F.lit(None).cast(t).alias(c) for c, t in none.items())).unionByName(hits.select("qb", "db", q, doc, "bm25", "coverage", F.col("first_ord").cast("int").alias("first_ord")), allowMissingColumns=True)
+    vecs = docs.select(doc).join(vectors(docs, doc, text), doc, "left").crossJoin(blocks)
+    right = vecs.withColumn("db", _block(doc, F.col("n_d"))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n_q") / BLOCK_ROWS).cast("int") - 1))).select("qb", "db", doc, "at", "w")
+
+    def product(left: pa.Table, right: pa.Table) -> pa.Table:
+        vector = pc.is_null(left[doc])
+        own, hits = left.filter(vector), left.filter(pc.invert(vector))
+        ids = right[doc].to_numpy()
+        order = np.argsort(ids)
+        shape = (own.num_rows, len(ids))
+        dense = _matrix(own["at"], own["w"]) @ _matrix(right["at"], right["w"]).T if 0 not in shape else np.zeros(shape)
+        row_of = pc.index_in(hits[q], own[q].combine_chunks()).to_numpy()
+        at = row_of, order[np.searchsorted(ids[order], hits[doc].to_numpy())]
+        keyword, held, first, hit = np.zeros(shape), np.zeros(shape), np.full(shape, np.iinfo(np.int32).max, np.int32), np.zeros(shape, bool)
+        keyword[at] = hits["bm25"].to_numpy()
+        keyword /= own["top"].to_numpy()[:, None]
+        held[at], first[at], hit[at] = hits["coverage"].fill_null(0.0).to_numpy(), hits["first_ord"].to_numpy(), True
+        score = alpha * keyword + (1 - alpha) * dense
+        shown = np.where(hit | own["wide"].to_numpy(zero_copy_only=False)[:, None], np.floor(score * 1e9 + 0.5), -np.inf)
+        rows, cols = [], []
+        for i in range(shape[0]):
+            part = np.flatnonzero(shown[i] >= np.partition(shown[i], -k)[-k]) if shape[1] > k else np.arange(shape[1])
+            part = part[np.isfinite(shown[i, part])]
+            part = part[np.lexsort((ids[part], first[i, part], -shown[i, part]))][:k]
+            rows += [i] * len(part)
+            cols += part.tolist()
+        at = np.array(rows, int), np.array(cols, int)
+        return pa.table({q: own[q].take(pa.array(at[0])), doc: right[doc].take(pa.array(at[1])), "score": score[at], "keyword": keyword[at], "dense": dense[at], "coverage": held[at], "first_ord": pa.array(first[at])})
+
+    kinds = {q: queries.schema[q].dataType.simpleString(), doc: docs.schema[doc].dataType.simpleString()}
+    schema = f"`{q}` {kinds[q]}, `{doc}` {kinds[doc]}, score double, keyword double, dense double, coverage double, first_ord int"
+    few = left.groupBy("qb", "db").cogroup(right.groupBy("qb", "db")).applyInArrow(product, schema)
+    return best(few, q, doc, "score", k).select(q, doc, "score", "keyword", "dense", "coverage", "rank")
+
+
+def nearest(queries: DataFrame, q: str, docs: DataFrame, doc: str, k: int, vector: str = "vector", same: bool = False) -> DataFrame:
+    """(q, doc, cosine, rank): the k vectors nearest to each query by cosine; ties to the smaller id. same: both sides share their ids, and none is near to itself.
+
+    Vectors are arrays of numbers of one length. Null vectors and vectors of nothing are near to none.
+    """
+    given = lambda df, key: df.select(F.col(key), F.col(vector).cast("array<double>").alias("v")).filter(F.col("v").isNotNull())
+    a, b = given(queries, q).select(F.col(q).alias("q_"), "v"), given(docs, doc).select(F.col(doc).alias("d_"), "v")
+    size = lambda df, name: df.agg(F.greatest(F.count("*"), F.lit(1)).alias(name))
+    blocks = F.broadcast(size(a, "n_q").crossJoin(size(b, "n_d")))  # one row
+    dealt = lambda df, key, own, n, other, m: df.crossJoin(blocks).select(key, "v", _block(key, F.col(n)).alias(own), F.explode(F.sequence(F.lit(0), F.ceil(F.col(m) / BLOCK_ROWS).cast("int") - 1)).alias(other))
+
+    def unit(v: pa.ChunkedArray) -> np.ndarray:
+        x = np.array(v.to_pylist(), float)
+        n = np.sqrt((x * x).sum(1, keepdims=True))
+        return np.divide(x, n, out=np.full_like(x, np.nan), where=n > 0)
+
+    def product(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows, cols, values = [], [], []
+        if left.num_rows and right.num_rows:
+            ids, asked = right["d_"].to_numpy(), left["q_"].to_numpy()
+            cosine = np.floor(unit(left["v"]) @ unit(right["v"]).T * 1e6 + 0.5) / 1e6
+            if same:
+                cosine[asked[:, None] == ids] = np.nan
+            for i, row in enumerate(np.where(np.isnan(cosine), -np.inf, cosine)):
+                part = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
+                part = part[np.isfinite(row[part])]
+                part = part[np.lexsort((ids[part], -row[part]))][:k]
+                rows += [i] * len(part)
+                cols += part.tolist()
+                values += row[part].tolist()
+        return pa.table({q: left["q_"].take(pa.array(rows, pa.int64())), doc: right["d_"].take(pa.array(cols, pa.int64())), "cosine": pa.array(values, pa.float64())})
+
+    kinds = f"`{q}` {queries.schema[q].dataType.simpleString()}, `{doc}` {docs.schema[doc].dataType.simpleString()}, cosine double"
+    few = dealt(a, "q_", "qb", "n_q", "db", "n_d").groupBy("qb", "db").cogroup(dealt(b, "d_", "db", "n_d", "qb", "n_q").groupBy("qb", "db")).applyInArrow(product, kinds)
+    rank = F.row_number().over(Window.partitionBy(q).orderBy(F.col("cosine").desc(), doc))
+    return few.withColumn("rank", rank.cast("bigint")).filter(F.col("rank") <= k)
+
+
+def dense_vectors(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, vector): the weights of all buckets, in their order."""
+    there = F.map_from_arrays("at", "w")
+    return vectors(df, key, text).select(key, F.transform(F.sequence(F.lit(0), F.lit(C.BUCKETS - 1)), lambda i: F.coalesce(F.try_element_at(there, i), F.lit(0.0))).alias("vector"))
 
 
 def catalog_text(catalog: DataFrame) -> DataFrame:

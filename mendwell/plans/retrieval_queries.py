@@ -118,8 +118,9 @@ def gram_buckets(spark, sf_dir):
 
 
 def dense_cosine(spark, sf_dir):
-    """All pairs of passages and catalog entries that share a bucket."""
-    return R.dense(table(spark, sf_dir, "benchmark"), "item_id", _catalog(spark, sf_dir), "doc_id").select("item_id", "doc_id", R.rounded(F.col("dense")).alias("dense"))
+    """The five catalog entries nearest to each passage by their n-grams."""
+    near = R.nearest(R.dense_vectors(table(spark, sf_dir, "benchmark"), "item_id", "text"), "item_id", R.dense_vectors(_catalog(spark, sf_dir), "doc_id", "text"), "doc_id", 5)
+    return near.select("item_id", "doc_id", F.col("cosine").alias("dense"), "rank")
 
 
 def _groups(spark, sf_dir):
@@ -177,13 +178,8 @@ def ablation(spark, sf_dir):
 
 def embedding_cosine_topk(spark, sf_dir):
     """The five nearest other vectors by cosine; the queries are the vectors whose id is divisible by 20, the index all of them."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("at", "x"))
-    w = e.withColumn("x", F.col("x").cast("double")).groupBy("vec_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    unit = e.join(w, "vec_id").select("vec_id", "at", (F.col("x") / F.col("norm")).alias("x"))
-    asked = unit.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), "at", F.col("x").alias("y"))
-    near = asked.join(unit, "at").filter("q <> vec_id").groupBy("q", "vec_id").agg(R.rounded(F.sum(F.col("x") * F.col("y"))).alias("cosine"))
-    rank = F.row_number().over(R.Window.partitionBy("q").orderBy(F.col("cosine").desc(), "vec_id"))
-    return near.withColumn("rank", rank.cast("bigint")).filter("rank <= 5")
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return R.nearest(e.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "q"), "q", e, "vec_id", 5, same=True)
 
 
 def troubleshoot(spark, sf_dir):
@@ -248,7 +244,7 @@ SQL = {
     "hybrid_topk": f"WITH {_CATALOG}, {_TITLES}, {_search('catalog', 'doc_id', 'titles', 'q', 5, C.ALPHA)} {_TOP}",
     "keyword_mode_topk": f"WITH {_CATALOG}, {_TITLES}, {_search('catalog', 'doc_id', 'titles', 'q', 5, 1.0)} {_TOP}",
     "gram_buckets": f"WITH {_buckets('v', 'benchmark', 'item_id')} SELECT item_id, bucket::bigint AS bucket, {_R6.format('w')} AS w FROM v",
-    "dense_cosine": f"WITH {_CATALOG}, {_buckets('a', 'benchmark', 'item_id')}, {_buckets('b', 'catalog', 'doc_id')} SELECT item_id, doc_id, {_R6.format('sum(a.w * b.w)')} AS dense FROM a JOIN b USING (bucket) GROUP BY 1, 2",
+    "dense_cosine": f"WITH {_CATALOG}, {_buckets('a', 'benchmark', 'item_id')}, {_buckets('b', 'catalog', 'doc_id')}, near AS (SELECT i.item_id, c.doc_id, {_R6.format('coalesce(sum(a.w * b.w), 0)')} AS dense FROM (SELECT DISTINCT item_id FROM a) i CROSS JOIN (SELECT DISTINCT doc_id FROM b) c LEFT JOIN a ON a.item_id = i.item_id LEFT JOIN b ON b.doc_id = c.doc_id AND b.bucket = a.bucket GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY dense DESC, doc_id) AS rank FROM near QUALIFY rank <= 5",
     "screen_trail": f"{_GROUPS} SELECT gid, array_to_string(candidates, ' | ') AS candidates, polarity, on_settings FROM trails",
     "resolve_screen": f"{_resolve('hybrid')} SELECT {', '.join(_SHOWN)} FROM resolved",
     "resolve_screen_keyword": f"{_resolve('keyword')} SELECT {', '.join(_SHOWN)} FROM resolved",
