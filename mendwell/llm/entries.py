@@ -1,9 +1,9 @@
 """Free-typed screen names to the entries of a catalog.
 
 A step is read into its effect (open, on, off) and the name it gives. Each distinct token of the names is repaired first:
-it is joined to the catalog's tokens by their deletion neighbourhoods and kept where the edit distance is small (also
-to two neighbouring tokens typed as one, and to the token it abbreviates). The repaired tokens then meet the names that hold
-them through an inverted index, and soft TF-IDF ranks the complete names. A name leads to the entry of the step's effect.
+it is joined to the catalog's tokens by their deletion neighbourhoods (long tokens: by whole parts) and kept where the edit distance is small (also
+to two neighbouring tokens typed as one, and to the token it abbreviates). The repaired tokens then meet the names through an
+inverted index of each name's rarest words, and soft TF-IDF ranks the complete names. A name leads to the entry of the step's effect.
 
 All joins are on equal keys over distinct names and tokens; a step that occurs a million times is resolved once.
 
@@ -30,6 +30,8 @@ ABBREVIATED = 0.9
 EFFECTS = {"onClickURL": "open", "onURL": "on", "offURL": "off"}
 #: Most deleted letters on either side of a token join.
 EDITS = 2
+#: Tokens of more letters meet by whole parts instead of deletions, and the parts of such a word.
+LONG, PARTS = 16, 5
 
 
 def _plain(text: Column) -> Column:
@@ -80,14 +82,38 @@ def catalog_names(catalog: DataFrame) -> DataFrame:
 
 
 def _deletions(token: Column) -> Column:
-    """The token and what is left of it without one or two letters; short ones lose one at most."""
+    """The token and what is left of it without one or two letters; short ones lose one at most, long ones aren't met this way."""
 
     def without(t: Column) -> Column:
         return F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(t.substr(F.lit(1), i - 1), t.substr(i + 1, F.length(t))))
 
+    none = F.array().cast("array<string>")
     one = without(token)
-    two = F.when(F.length(token) > 4, F.flatten(F.transform(one, without))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(F.array(token), F.when(F.length(token) > 1, one).otherwise(F.array().cast("array<string>")), two))
+    two = F.when(F.length(token) > 4, F.flatten(F.transform(one, without))).otherwise(none)
+    met = F.array_distinct(F.concat(F.array(token), F.when(F.length(token) > 1, one).otherwise(none), two))
+    return F.when(F.length(token) <= LONG + EDITS, met).otherwise(none)
+
+
+def _segments(token: Column, typed: bool) -> Column:
+    """Keys by which long tokens meet: the word is cut into five parts, of which two edits (swaps of neighbours among them) leave one whole.
+
+    A key is (length of the word, number of the part, its letters); a typed token gives those of all words it could be, with each part moved by
+    up to two letters. The keys grow with the token's length and not with its square.
+    """
+
+    def part(n: Column, i: Column, move: Column | int) -> Column:
+        start, end = F.floor(n * i / PARTS), F.floor(n * (i + 1) / PARTS)
+        at = start + move
+        inside = (at >= 0) & (at + (end - start) <= F.length(token))
+        return F.when(inside, F.concat_ws(":", n, i, token.substr((at + 1).cast("int"), (end - start).cast("int"))))
+
+    numbers = F.sequence(F.lit(0), F.lit(PARTS - 1))
+    if not typed:
+        keys = F.transform(numbers, lambda i: part(F.length(token), i, 0))
+    else:
+        moves = F.sequence(F.lit(-EDITS), F.lit(EDITS))
+        keys = F.flatten(F.transform(moves, lambda d: F.flatten(F.transform(numbers, lambda i: F.transform(moves, lambda m: part(F.length(token) + d, i, m))))))
+    return F.when(F.length(token) > LONG, F.array_distinct(F.filter(keys, lambda k: k.isNotNull()))).otherwise(F.array().cast("array<string>"))
 
 
 def _letters(token: Column) -> Column:
@@ -100,8 +126,8 @@ def repaired(typed: DataFrame, vocabulary: DataFrame) -> DataFrame:
     heads = vocabulary.select("word", F.explode(F.transform(F.sequence(F.lit(2), F.length("word")), lambda i: F.col("word").substr(F.lit(1), i))).alias("stem")).filter(F.length("stem") < F.length("word"))
     short = cut_short.join(heads, "stem").select("token", "word", F.lit(ABBREVIATED).alias("similarity"))
     a = typed.select("token", F.regexp_replace("token", r"\.", "").alias("bare")).filter("bare <> ''")
-    left = a.select("token", "bare", F.explode(_deletions(F.col("bare"))).alias("part"))
-    right = vocabulary.select("word", F.explode(_deletions(F.col("word"))).alias("part"))
+    left = a.select("token", "bare", F.explode(F.concat(_deletions(F.col("bare")), _segments(F.col("bare"), True))).alias("part"))
+    right = vocabulary.select("word", F.explode(F.concat(_deletions(F.col("word")), _segments(F.col("word"), False))).alias("part"))
     met = left.join(right, "part").select("token", "bare", "word").distinct()
     n, sorted_n = F.levenshtein("bare", "word"), F.levenshtein(_letters(F.col("bare")), _letters(F.col("word")))
     # two edits, of which one or both are swaps, show as three or four of the plain distance
@@ -132,7 +158,13 @@ def resolve(steps: DataFrame, step: str, catalog: DataFrame) -> DataFrame:
     said = read.select("said").distinct().select("said", F.posexplode(tokens(F.col("said"))).alias("at", "token"))
     fixed = cut(repaired(said.select("token").distinct(), vocabulary.select("word").distinct()))
     words = said.join(fixed, "token").join(vocabulary, "word").select("said", "at", F.explode("parts").alias("word"), "similarity")
-    meets = words.join(holds, "word").groupBy("said", "name", "at", "word").agg(F.max("similarity").alias("similarity"))
+    # a name is accepted only if its matched words hold ACCEPT squared of its weight, so one of those words must be among its rarest ones,
+    # the others of which hold less: common words bring no pair together that isn't brought by a rare one
+    by_rarity = Window.partitionBy("name").orderBy("idf", "word")
+    mass = F.col("idf") * F.col("idf")
+    rare = holds.join(weight, "word").join(norms, "name").withColumn("so_far", F.sum(mass).over(by_rarity)).filter(F.col("so_far") >= (ACCEPT * F.col("name_norm")) ** 2 - 1e-9).select("name", "word")
+    near = words.join(rare, "word").select("said", "name").distinct()
+    meets = near.join(words, "said").join(holds, ["name", "word"]).groupBy("said", "name", "at", "word").agg(F.max("similarity").alias("similarity"))
     best = meets.join(weight, "word").select("said", "name", "at", "word", "similarity", "idf")
     score = best.withColumn("rank", F.row_number().over(Window.partitionBy("said", "name", "word").orderBy(F.col("similarity").desc(), "at"))).filter("rank = 1")
     met = score.groupBy("said", "name").agg(F.sum(F.col("similarity") * F.col("idf") * F.col("idf")).alias("dot"), F.sum(F.col("idf") * F.col("idf")).alias("mass"), F.countDistinct("at").alias("used"), F.count("*").alias("held"))

@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..cluster import cut
+
 #: Spaces beyond ASCII.
 _WIDE = "\u00a0\u2007\u200b\u202f\ufeff"
 #: Fixed by the task: what opens a list entry.
@@ -58,14 +60,21 @@ def collapse(df: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
+def _name(text: Column) -> list[Column]:
+    """Two independent 64-bit hashes of a text: what rows and texts meet by, so that long texts don't travel with every row."""
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("t"), text).alias("t2")]
+
+
 def copies(df: DataFrame, key: str, text: str) -> DataFrame:
     """(first_id, copy_id): each key but the smallest of every record that has several.
 
-    Texts of records with one row are dropped before the rows are joined to their record, by the byte-identical text.
-    Rows of one hot text meet a single row there, so that adaptive execution may split them over tasks as it likes.
+    The texts are made canonical once and kept by the names of their spellings; spellings of records with one row are dropped
+    before the rows are joined, by the name of their byte-identical text (128 bits; equal canonical texts are compared whole). Rows of one
+    hot text meet a single row there, so that adaptive execution may split them over tasks as it likes.
     """
-    own = spellings(df, key, text).withColumn("canonical", canonical(F.col("text"))).filter(F.col("canonical") != "")
+    own = spellings(df, key, text).select(*_name(F.col("text")), canonical(F.col("text")).alias("canonical"), "first_key", "n_rows").filter(F.col("canonical") != "")
+    own = cut(own)
     groups = own.groupBy("canonical").agg(F.min("first_key").alias("first_id"), F.sum("n_rows").alias("n")).filter("n > 1").drop("n")
-    of_text = own.select("text", "canonical").join(groups, "canonical").select("text", "first_id")
-    rows = df.select(F.col(key).alias("copy_id"), F.col(text).alias("text")).filter(F.col("copy_id").isNotNull() & F.col("text").isNotNull())
-    return rows.join(of_text, "text").filter("copy_id <> first_id").select("first_id", "copy_id")
+    of_text = own.select("t1", "t2", "canonical").join(groups, "canonical").select("t1", "t2", "first_id")
+    rows = df.filter(F.col(key).isNotNull() & F.col(text).rlike(r"[\p{L}\p{N}]")).select(F.col(key).alias("copy_id"), *_name(F.col(text)))
+    return rows.join(of_text, ["t1", "t2"]).filter("copy_id <> first_id").select("first_id", "copy_id")

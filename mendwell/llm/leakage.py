@@ -11,7 +11,8 @@ starts of a stretch; ``tests/llm`` measures recall against brute force. What mee
 of all stretches of the item to the best part of the document around the place.
 
 A document window goes on the walk only if it has 19 pairs of neighbours that items have too: some window of every case has. Documents never move:
-the items' index is sent to them, in blocks of bounded size, one pass for each block.
+the items' index is sent to them in blocks of bounded size. A document is read and split into words once and meets all blocks of a pass; only items
+beyond ``PASS_WORDS`` words ask for another pass.
 
 Defined results
     * case, accents, markup, entities, punctuation and spacing don't count; apostrophes and hyphens join their word.
@@ -26,11 +27,13 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..cluster import spread
 
@@ -41,6 +44,8 @@ STRETCH, EDITS = 30, 5
 STEPS, WALKS, SAMPLES, WIDTH = 44, 8, 6, 5
 #: Words of items in one block; the index of a block takes about 400 bytes a word.
 BLOCK_WORDS = 100_000
+#: Words of items that one pass over the documents holds in each worker's memory (some 400 MB).
+PASS_WORDS = 1_000_000
 #: Slants (place in the document less place in the item) are verified in steps of this width.
 NEAR = 4
 SEED = 20240607
@@ -269,21 +274,31 @@ def find(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_ke
     spark = docs.sparkSession
     kinds = docs.schema[doc_key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     schema = f"`{doc_key}` {kinds[0]}, `{item_key}` {kinds[1]}"
+    item_type = to_arrow_type(items.schema[item_key].dataType)
     source = docs.select(F.col(doc_key), F.col(doc_text)).filter(F.col(doc_key).isNotNull() & (F.length(doc_text) > STRETCH))
-    result = None
-    for block in blocks(items, item_key, item_text):
-        shared = spark.sparkContext.broadcast(block)
 
-        def work(batches, shared=shared):
-            index = shared.value
+    def one_pass(shared):
+        def work(batches):
+            indexes = [s.value for s in shared]
             for batch in batches:
                 for at in range(0, batch.num_rows, 500):
                     part = batch.slice(at, 500)
-                    ids = part.column(0).to_pylist()
-                    hits = leaks([words(t.as_py()) for t in part.column(1)], index)
-                    pairs = [(i, k) for i, ns in zip(ids, hits) for k in sorted({index.items[n][0] for n in ns})]
-                    yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], part.column(0).type), pa.array([p[1] for p in pairs])] if pairs else [pa.array([], part.column(0).type), pa.array([], pa.int64())], names=[doc_key, item_key])
-
-        one = spread(source).mapInArrow(work, schema)
-        result = one if result is None else result.unionByName(one)
-    return spark.createDataFrame([], schema) if result is None else result
+                    texts = [words(t.as_py()) for t in part.column(1)]
+                    found = [{index.items[n][0] for index, ns in zip(indexes, of_doc) for n in ns} for of_doc in zip(*(leaks(texts, index) for index in indexes))]
+                    pairs = [(i, k) for i, ks in zip(part.column(0).to_pylist(), found) for k in sorted(ks)]
+                    yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in pairs], part.column(0).type), pa.array([k for _, k in pairs], item_type)], names=[doc_key, item_key])
+
+        return spread(source).mapInArrow(work, schema)
+
+    passes: list[list] = [[]]
+    held = 0
+    for block in blocks(items, item_key, item_text):
+        n = int(block.lengths.sum())
+        if held + n > PASS_WORDS and passes[-1]:
+            passes.append([])
+            held = 0
+        passes[-1].append(spark.sparkContext.broadcast(block))
+        held += n
+    if not passes[-1]:
+        return spark.createDataFrame([], schema)
+    return reduce(DataFrame.unionByName, map(one_pass, passes))

@@ -3,8 +3,8 @@
 A block's texts are split into words by the vocabulary's published pattern. Words that the worker hasn't met are encoded
 together: an inverted index leads from each pair of neighbouring tokens to the positions in words where it stands, and
 every merge is applied in rank order to all its positions at once, updating only the neighbours it touches. Texts are
-then written as the ids of their words. No row moves: the only thing shared is the vocabulary, whose size is that of the
-published file (checked), so a corpus of any size costs one pass. A worker forgets its words when they exceed a bound; this
+then written as the ids of their words. No row moves: the only thing shared is the vocabulary, by a broadcast or, if its
+file is large, by a file on each executor, so a corpus of any size costs one pass. A worker forgets its words when they exceed a bound; this
 costs time, never a result.
 
 Defined results
@@ -17,9 +17,11 @@ from __future__ import annotations
 
 import base64
 import heapq
+import os
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,17 +30,24 @@ from ..cluster import spread
 TOKENIZERS = "/opt/tokenizers"
 #: Published split pattern of byte-level vocabularies of this family.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A vocabulary above this many bytes isn't broadcast.
+#: A vocabulary above this many bytes isn't broadcast, but read by each worker from its executor's disk.
 VOCABULARY_BYTES = 32 << 20
 #: Words, and their bytes, that a worker remembers.
 WORDS, WORD_BYTES = 200_000, 16 << 20
 
 
 def ranks_of(path: str) -> dict[bytes, int]:
-    data = Path(path).read_bytes()
-    if len(data) > VOCABULARY_BYTES:
-        raise ValueError(f"{path} is larger than {VOCABULARY_BYTES} bytes")
-    return {base64.b64decode(a): int(b) for a, b in (x.split() for x in data.splitlines() if x)}
+    return {base64.b64decode(a): int(b) for a, b in (x.split() for x in Path(path).read_bytes().splitlines() if x)}
+
+
+def shared_vocabulary(spark, path: str, most: int | None = None):
+    """A function that gives a worker the vocabulary: from a broadcast if the file is small, else from the copy that Spark lays on each executor's disk."""
+    if os.path.getsize(path) <= (VOCABULARY_BYTES if most is None else most):
+        sent = spark.sparkContext.broadcast(ranks_of(path))
+        return lambda: sent.value
+    spark.sparkContext.addFile(path)
+    name = os.path.basename(path)
+    return lambda: ranks_of(SparkFiles.get(name))
 
 
 def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
@@ -98,13 +107,13 @@ def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
 
 def encode(df: DataFrame, key: str, text: str, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", pattern: str = PATTERN) -> DataFrame:
     """(key, ids) of every row."""
-    ranks = df.sparkSession.sparkContext.broadcast(ranks_of(vocabulary))
+    vocabulary_of = shared_vocabulary(df.sparkSession, vocabulary)
     kind = df.schema[key].dataType
 
     def work(batches):
         import regex
 
-        split = regex.compile(pattern)
+        split, ranks = regex.compile(pattern), vocabulary_of()
         known: dict[str, list[int]] = {}
         held = 0
         for batch in batches:
@@ -115,7 +124,7 @@ def encode(df: DataFrame, key: str, text: str, vocabulary: str = f"{TOKENIZERS}/
                 known.clear()
                 new = list({w for t in texts for w in t})
                 held = sum(map(len, new))
-            known.update(zip(new, replay([w.encode("utf-8", "surrogatepass") for w in new], ranks.value)))
+            known.update(zip(new, replay([w.encode("utf-8", "surrogatepass") for w in new], ranks)))
             ids = [[i for w in t for i in known[w]] for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[key, "ids"])
 

@@ -67,3 +67,27 @@ def test_empty_sides_and_repeated_rows(spark):
     assert {(r.n, r.link_id) for r in E.resolve(steps, "step", catalog(spark)).collect()} == {(1, 9), (2, 9)}
     assert {(r.n, r.link_id) for r in E.resolve(steps, "step", catalog(spark).limit(0)).collect()} == {(1, 0), (2, 0)}
     assert E.resolve(steps.limit(0), "step", catalog(spark)).count() == 0
+
+
+def test_long_tokens_meet_by_whole_parts(spark):
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(rng.choice(letters) for _ in range(n)) for n in (15, 16, 17, 18, 19, 20, 31, 64, 300)]
+    typed = {w: w for w in words}
+    for w in words:
+        for _ in range(12):
+            t = list(w)
+            for _ in range(rng.randint(1, 2)):
+                i, kind = rng.randrange(len(t) - 1), rng.randrange(4)
+                if kind == 0:
+                    t[i] = "0"
+                elif kind == 1:
+                    del t[i]
+                elif kind == 2:
+                    t.insert(i, "0")
+                else:
+                    t[i], t[i + 1] = t[i + 1], t[i]
+            typed["".join(t)] = w
+    typed["x" * 10_000] = None
+    got = {(r.token, r.word) for r in E.repaired(spark.createDataFrame([(t,) for t in typed], "token string"), spark.createDataFrame([(w,) for w in words], "word string")).collect()}
+    assert got == {(t, w) for t, w in typed.items() if w}

@@ -141,3 +141,14 @@ def test_long_stretches_with_their_edits_in_the_middle():
     assert {d for d, _ in want} >= set(full)
     assert got <= want
     assert len(got) >= 0.97 * len(want)
+
+
+def test_many_blocks_and_passes_with_text_ids(spark, monkeypatch):
+    monkeypatch.setattr(L, "BLOCK_WORDS", 100)
+    monkeypatch.setattr(L, "PASS_WORDS", 250)
+    items = [(f"i{n}", passage(60)) for n in range(9)]
+    docs = [(f"d{n}", " ".join(passage(20) + ws[:40] + passage(20) + items[(n + 4) % 9][1][10:50]), "x") for n, (_, ws) in enumerate(items)] + [("none", " ".join(passage(80)), "x"), ("null", None, "x")]
+    d = spark.createDataFrame(docs, "doc_id string, text string, item_id string")
+    i = spark.createDataFrame([(k, " ".join(ws)) for k, ws in items] + [("short", "too short"), ("null", None)], "item_id string, text string")
+    got = {(r.doc_id, r.item_id) for r in L.find(d, "doc_id", "text", i, "item_id", "text").collect()}
+    assert got == {(f"d{n}", f"i{m}") for n in range(9) for m in (n, (n + 4) % 9)}

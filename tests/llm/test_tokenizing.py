@@ -53,3 +53,9 @@ def test_large_vocabularies_are_refused(tmp_path, monkeypatch):
     monkeypatch.setattr(T, "VOCABULARY_BYTES", 3)
     with pytest.raises(ValueError):
         T.ranks_of(str(tmp_path / "v"))
+
+
+def test_a_vocabulary_of_any_size(spark, known, monkeypatch):
+    monkeypatch.setattr(T, "VOCABULARY_BYTES", 1)
+    df = spark.createDataFrame([(1, "Read from each executor's disk."), (2, None)], "doc_id bigint, text string")
+    assert {r.doc_id: r.ids for r in T.encode(df, "doc_id", "text").collect()} == {1: known[1].encode_ordinary("Read from each executor's disk."), 2: []}
