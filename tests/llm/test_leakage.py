@@ -48,16 +48,19 @@ def brute(doc, item):
 def test_recall_and_precision_against_brute_force():
     items = [(i, passage(RNG.randint(80, 145))) for i in range(12)]
     index = L.Index(items)
-    docs = []
+    docs, quoted = [], []
     for k in range(240):
-        item = RNG.choice(items)[1]
+        owner, item = RNG.choice(items)
         n = RNG.choice((20, 27, 30, 31, 33, 40, 70))
         at = RNG.randrange(len(item) - n + 1)
         quote = edited(item[at : at + n], min(n // 10 + RNG.choice((-1, 0, 0, 1, 4)), n - 2) if k % 4 else 0)
+        quoted.append((len(docs), owner, n))
         docs.append(passage(RNG.randint(0, 60)) + quote + passage(RNG.randint(0, 60)))
     docs += [passage(150) for _ in range(40)] + [[], ["one"]]
     got = {(d, n) for d, ns in enumerate(L.leaks(docs, index)) for n in ns}
     want = {(d, n) for d, doc in enumerate(docs) for n, (_, item) in enumerate(items) if brute(doc, item)}
+    # brute tries stretches of 30 to 33 words; longer ones lie in longer quotes only, and are tried at all lengths
+    want |= {(d, n) for d, n, length in quoted if length > 33 and (d, n) not in want and brute_of_all_lengths(docs[d], items[n][1])}
     assert got <= want
     assert len(got) >= 0.97 * len(want) and len(want) > 80
 
