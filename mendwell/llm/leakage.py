@@ -42,10 +42,10 @@ from ..cluster import spread
 STRETCH, EDITS = 30, 5
 #: Length of a walk, walks, samples of each, and steps in a sample.
 STEPS, WALKS, SAMPLES, WIDTH = 44, 8, 6, 5
-#: Words of items in one block; the index of a block takes about 400 bytes a word.
+#: Words of items in one block; the index of a block takes about 800 bytes a word.
 BLOCK_WORDS = 100_000
 #: Words of items that one pass over the documents holds in each worker's memory (some 400 MB).
-PASS_WORDS = 1_000_000
+PASS_WORDS = 500_000
 #: Slants (place in the document less place in the item) are verified in steps of this width.
 NEAR = 4
 SEED = 20240607
@@ -161,10 +161,13 @@ class Index:
         self.width = end + 1
         self.pairs = np.unique(line[:-1].astype(np.int64) * self.width + line[1:])
         self.owner, self.start = np.array(owner, np.int32), np.array(start, np.int32)
+        self.sieve = (1 << (4 * len(places)).bit_length()) - 1  # few keys of documents pass it, so few are searched for
         self.tables = []
         for keys in self.keys(line, np.array(places, np.int64)):
             order = np.argsort(keys, kind="stable")
-            self.tables.append((keys[order], order.astype(np.int32)))
+            seen = np.zeros(self.sieve + 1, bool)
+            seen[keys >> 20 & self.sieve] = True
+            self.tables.append((keys[order], order.astype(np.int32), seen))
 
     def keys(self, line: np.ndarray, places: np.ndarray) -> Iterator[np.ndarray]:
         for bits, samples in zip(self.bits, self.steps):
@@ -175,17 +178,24 @@ class Index:
             for steps in samples:
                 yield sum(walk[j] * f for j, f in zip(steps, self.factors))
 
-    def meetings(self, line: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """Rows of (place, number of the item's window), each once."""
-        met = []
-        for (table, order), keys in zip(self.tables, self.keys(line, places)):
-            lo, hi = np.searchsorted(table, keys, "left"), np.searchsorted(table, keys, "right")
-            n = hi - lo
-            if n.any():
-                which = np.repeat(np.arange(len(keys)), n)
-                offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                met.append(np.stack([places[which], order[lo[which] + offset]], 1))
-        return np.unique(np.concatenate(met), axis=0) if met else np.empty((0, 2), np.int64)
+    def meetings(self, line: np.ndarray, places: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Rows of (document, item, slant), each once; doc and at: the document of each place and the place in it."""
+        reach = (int(at.max(initial=0)) + int(self.start.max(initial=0))) // NEAR + 2
+        met = [np.empty(0, np.int64)]
+        for (table, order, seen), keys in zip(self.tables, self.keys(line, places)):
+            which = np.flatnonzero(seen[keys >> 20 & self.sieve])
+            keys = keys[which]
+            lo = np.searchsorted(table, keys, "left")
+            there = table[np.minimum(lo, len(table) - 1)] == keys
+            which, keys, lo = which[there], keys[there], lo[there]
+            n = np.searchsorted(table, keys, "right") - lo
+            windows = order[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            which = np.repeat(which, n)
+            slant = (at[which] - self.start[windows]) // NEAR
+            met.append(np.unique((doc[which] * len(self.items) + self.owner[windows]) * (2 * reach) + slant + reach))
+        code = np.unique(np.concatenate(met))
+        pair, slant = np.divmod(code, 2 * reach)
+        return np.stack([*np.divmod(pair, len(self.items)), slant - reach], 1)
 
 
 def candidates(line: np.ndarray, index: Index) -> np.ndarray:
@@ -215,12 +225,10 @@ def leaks(docs: list[list[str]], index: Index) -> list[list[int]]:
     found: list[list[int]] = [[] for _ in docs]
     if not len(places):
         return found
-    met = index.meetings(line, places)
     base = np.array(bases)
-    doc = np.searchsorted(base, met[:, 0], "right") - 1
-    met, doc = met[doc >= 0], doc[doc >= 0]
-    slant = (met[:, 0] - base[doc] - index.start[met[:, 1]]) // NEAR
-    rows = np.unique(np.stack([doc, index.owner[met[:, 1]], slant], 1), axis=0)
+    doc = np.searchsorted(base, places, "right") - 1
+    places, doc = places[doc >= 0], doc[doc >= 0]
+    rows = index.meetings(line, places, doc, places - base[doc])
     done: set[tuple[int, int]] = set()
     chunk = max(1, 400_000 // index.grid.shape[1])
     for at in range(0, len(rows), chunk):
