@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..cluster import cut
+from ..cluster import cut, spread
 from ..functions import constants as C
 from ..functions import text as T
 from ..functions.dialect import frame
@@ -44,45 +44,66 @@ def evict(kept: DataFrame, most: int = C.KEPT) -> DataFrame:
     return kept.orderBy(F.col("stored_at").desc(), F.col("seq").desc()).limit(most)
 
 
-def rare_tokens(keys: DataFrame, df: DataFrame) -> DataFrame:
-    """(key, tokens, token): of each key the rarest tokens, as many as leave too few others to be similar."""
-    each = keys.select("key", "tokens", F.explode("tokens").alias("token")).join(df, "token")
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("df", "token"))
-    need = F.size("tokens") - F.ceil(F.size("tokens") * C.FUZZY - 1e-9) + 1
-    return each.withColumn("rank", rank).filter(F.col("rank") <= need).select("key", "tokens", "token")
+def rare_tokens(each: DataFrame, df: DataFrame) -> DataFrame:
+    """each: (id, n, token). (id, token): the rarest tokens of each id, as many as leave too few others to be similar."""
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "token"))
+    need = F.col("n") - F.ceil(F.col("n") * C.FUZZY - 1e-9) + 1
+    return each.join(df, "token").withColumn("rank", rank).filter(F.col("rank") <= need).select("id", "token")
 
 
 def fuzzy(keys: DataFrame, kept: DataFrame) -> DataFrame:
-    """keys: (key). (key, kept_key, score): the most similar kept key of each, above the floor."""
-    tokens = lambda df: frame(df, T.content_tokens("key", "content")).select("key", F.array_distinct("content").alias("tokens"))
-    asked, held = tokens(keys.select("key").distinct()).filter(F.size("tokens") >= 2), tokens(kept.select("key")).filter(F.size("tokens") >= 1)
-    df = asked.unionByName(held).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    all_asked, all_held = (x.select("key", "tokens", F.explode("tokens").alias("token")) for x in (asked, held))
-    b = lambda x: x.select(F.col("key").alias("kept_key"), F.col("tokens").alias("kept_tokens"), "token")
-    pairs = rare_tokens(asked, df).join(b(all_held), "token").unionByName(all_asked.join(b(rare_tokens(held, df)), "token")).select("key", "tokens", "kept_key", "kept_tokens").dropDuplicates(["key", "kept_key"])
+    """keys: (key). (key, kept_key, score): the most similar kept key of each, above the floor.
+
+    Tokens meet under numbers; the pairs that met get their tokens back once each, to be compared exactly.
+    """
+
+    def numbered(df: DataFrame) -> DataFrame:
+        told = frame(spread(df), T.content_tokens("key", "content")).select("key", F.array_distinct("content").alias("tokens"))
+        return cut(told.withColumn("id", F.monotonically_increasing_id()))  # numbers that stay, once they are written
+
+    each = lambda df: df.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    asked, held = numbered(cut(keys.select("key").distinct())).filter(F.size("tokens") >= 2), numbered(cut(kept.select("key"))).filter(F.size("tokens") >= 1)
+    df = cut(each(asked).unionByName(each(held)).groupBy("token").agg(F.count("*").alias("df")))
+    a, b = each(asked).select("id", "token"), each(held).select("id", "token")
+    of_kept = lambda x: x.withColumnRenamed("id", "kept_id")
+    pairs = rare_tokens(each(asked), df).join(of_kept(b), "token").unionByName(a.join(of_kept(rare_tokens(each(held), df)), "token")).select("id", "kept_id").distinct()
     inter = F.size(F.array_intersect("tokens", "kept_tokens"))
     n, m = F.size("tokens"), F.size("kept_tokens")
-    contained = inter / F.least(n, m)
-    score = F.greatest(inter / (n + m - inter), F.when((contained >= C.CONTAINED) & (inter >= C.CONTAINED_TOKENS), contained).otherwise(0.0))
-    scored = pairs.withColumn("score", score).filter(F.col("score") >= C.FUZZY).join(kept.select(F.col("key").alias("kept_key"), "seq"), "kept_key")
+    contained = F.col("inter") / F.least(n, m)
+    score = F.greatest(F.col("inter") / (n + m - F.col("inter")), F.when((contained >= C.CONTAINED) & (F.col("inter") >= C.CONTAINED_TOKENS), contained).otherwise(0.0))
+    met = pairs.join(asked, "id").join(held.select(F.col("id").alias("kept_id"), F.col("key").alias("kept_key"), F.col("tokens").alias("kept_tokens")), "kept_id")
+    scored = met.withColumn("inter", inter).withColumn("score", score).filter(F.col("score") >= C.FUZZY).join(kept.select(F.col("key").alias("kept_key"), "seq"), "kept_key")
     w = Window.partitionBy("key").orderBy(F.col("score").desc(), "seq")
     return scored.withColumn("rank", F.row_number().over(w)).filter("rank = 1").select("key", "kept_key", "score")
 
 
 def lookup(complaints: DataFrame, records: DataFrame, key: str = "complaint_id", text: str = "query") -> DataFrame:
-    """(key, canonical_key, match, kept_key, cache_id): match is exact, variation, fuzzy or miss; complaints without a key are left out."""
-    kept, index = cut(entries(records)), cut(paraphrase_index(records))
-    asked = cut(frame(complaints.select(key, text), [*T.canonical(text), *T.variations(text)]).select(key, F.col("canonical_key").alias("key"), "variations").filter("key <> ''"))  # read by five branches
-    exact = asked.select(key, "key").join(kept.select("key"), "key").select(key, F.lit(1).alias("step"), F.lit(0).alias("pos"), F.col("key").alias("kept_key"))
+    """(key, canonical_key, match, kept_key, cache_id): match is exact, variation, fuzzy or miss; complaints without a key are left out.
+
+    Each step is asked for what the steps before it missed: equal keys first, then the paraphrases of distinct texts without
+    an answer, then the similar keys of what is left. A complaint that was sent a million times is looked up once.
+    """
+    kept, index = cut(entries(records)), cut(paraphrase_index(spread(records)))
+    asked = cut(frame(complaints.select(key, F.col(text).alias("text")), T.canonical("text", "key")).select(key, "text", "key").filter("key <> ''"))
     in_kept = lambda df: df.join(kept.select(F.col("key").alias("kept_key")), "kept_key")
-    stored = in_kept(asked.select(key, F.col("key").alias("vkey")).join(index.withColumnRenamed("key", "kept_key"), "vkey")).select(key, F.lit(2).alias("step"), F.lit(0).alias("pos"), "kept_key")
-    # outer: else the optimiser asks for the array's size below, with its whole expression over and over
-    said = cut(frame(asked.select(key, F.posexplode_outer("variations").alias("pos", "said")), T.canonical("said", "vkey")).select(key, "pos", "vkey"))
-    own = said.join(kept.select(F.col("key").alias("vkey")), "vkey").select(key, F.lit(3).alias("step"), (F.col("pos") * 2).alias("pos"), F.col("vkey").alias("kept_key"))
-    own_stored = in_kept(said.join(index.withColumnRenamed("key", "kept_key"), "vkey")).select(key, F.lit(3).alias("step"), (F.col("pos") * 2 + 1).alias("pos"), "kept_key")
-    near = asked.select(key, "key").join(fuzzy(asked, kept), "key").select(key, F.lit(4).alias("step"), F.lit(0).alias("pos"), "kept_key")
-    found = exact.unionByName(stored).unionByName(own).unionByName(own_stored).unionByName(near)
-    first = found.groupBy(key).agg(F.min(F.struct("step", "pos", "kept_key")).alias("hit")).select(key, "hit.step", "hit.kept_key")
-    match = F.when(F.col("step") == 1, "exact").when(F.col("step").isin(2, 3), "variation").when(F.col("step") == 4, "fuzzy").otherwise("miss")
-    out = asked.select(key, F.col("key").alias("canonical_key")).join(first, key, "left").select(key, "canonical_key", match.alias("match"), "kept_key")
+    stored = index.withColumnRenamed("key", "kept_key")
+    keys = asked.select("key").distinct()
+    exact = keys.join(kept.select("key"), "key").select("key", F.lit(1).alias("step"), F.col("key").alias("kept_key"))
+    by_name = in_kept(keys.withColumnRenamed("key", "vkey").join(stored, "vkey")).select(F.col("vkey").alias("key"), F.lit(2).alias("step"), "kept_key")
+    by_key = cut(exact.unionByName(by_name).groupBy("key").agg(F.min(F.struct("step", "kept_key")).alias("hit")).select("key", "hit.*"))
+    # paraphrases of the texts that have no answer yet; outer: else the optimiser asks for the array's size below, with its whole expression over and over
+    texts = cut(spread(asked.select("text", "key").distinct().join(by_key, "key", "left_anti")))
+    varied = cut(frame(texts.select("text"), [*T.canonical("text"), *T.variations("text")]).select("text", "variations"))
+    said = cut(frame(varied.select("text", F.posexplode_outer("variations").alias("pos", "said")), T.canonical("said", "vkey")).select("text", "pos", "vkey"))
+    own = said.join(kept.select(F.col("key").alias("vkey")), "vkey").select("text", (F.col("pos") * 2).alias("pos"), F.col("vkey").alias("kept_key"))
+    own_stored = in_kept(said.join(stored, "vkey")).select("text", (F.col("pos") * 2 + 1).alias("pos"), "kept_key")
+    by_text = cut(own.unionByName(own_stored).groupBy("text").agg(F.min(F.struct("pos", "kept_key")).alias("hit")).select("text", F.lit(3).alias("step"), "hit.kept_key"))
+    near = cut(fuzzy(texts.join(by_text, "text", "left_anti").select("key").distinct(), kept).select("key", F.lit(4).alias("step"), "kept_key"))
+    of_text = by_text.select("text", F.col("step").alias("text_step"), F.col("kept_key").alias("text_kept"))
+    of_key = by_key.unionByName(near).select("key", F.col("step").alias("key_step"), F.col("kept_key").alias("key_kept"))  # one row a key
+    out = asked.join(of_text, "text", "left").join(of_key, "key", "left")
+    # a key that was found only by similarity for one text may belong to another that a paraphrase answered
+    step, found = F.coalesce("text_step", "key_step"), F.coalesce("text_kept", "key_kept")
+    match = F.when(step == 1, "exact").when(step.isin(2, 3), "variation").when(step == 4, "fuzzy").otherwise("miss")
+    out = out.select(key, F.col("key").alias("canonical_key"), match.alias("match"), found.alias("kept_key"))
     return out.join(kept.select(F.col("key").alias("kept_key"), "cache_id"), "kept_key", "left").select(key, "canonical_key", "match", "kept_key", "cache_id")
