@@ -112,6 +112,7 @@ FRAGMENT = r"(?i)^(?:and|or|to|into|from|next|then|with|for|the|a|an|at|of|on|in
 GENERIC_CONTROLS = "add edit remove next done ok okay close cancel back start stop input minus plus more menu x yes no delete save apply select confirm continue finish".split()
 NAME_VERBS = r"(?i)^(?:(?:view|open|enable|disable|adjust|update|switch|set|turn|check|go|see|tap|change|choose)\s+){0,4}"
 COVERAGE, DENSE, MESSAGE = 0.55, 0.33, 0.6
+WANTED, OPENED, OPPOSED = 0.12, 0.04, -0.08
 TURNS_OFF = r"\b(turn off|switch off|disable|deactivate|uncheck|untick|remove|delete|clear)\b"
 TURNS_ON = r"\b(turn on|switch on|enable|activate|check|tick|select|back up|allow)\b"
 ON_SETTINGS = r"\bsettings\b|\bquick settings\b|\bnotification panel\b"
@@ -124,3 +125,11 @@ FILLER_NOUNS = r"(?i)\b(the|your|a|an|icon|button|option|menu|slider|switch|app|
 FUZZY, CONTAINED, CONTAINED_TOKENS, LIFETIME_S, KEPT = 0.62, 0.8, 3, 3600, 2000
 SAMPLES_KEPT, BUDGET_MS = 5000, 300.0
 SCHEME = "voiceassist://"
+
+# --- notes shown with an action, by category
+NOTES = {
+    "auto": "This opens directly in your device settings — use the button below to jump straight there.",
+    "manual": "This step happens away from the screen, so there's nothing for the device to open — follow the wording exactly.",
+    "critical": "This action is more disruptive, so it's deliberately saved for last. Only do this if the steps above didn't help.",
+}
+SNAPSHOT = 1000

@@ -229,6 +229,11 @@ def catalog_text(catalog: DataFrame) -> DataFrame:
     )
 
 
+def placeholder(catalog: DataFrame) -> DataFrame:
+    """The catalog's generic entry, one row or none: the first whose link is marked so."""
+    return catalog.filter(F.col("deeplink").contains("dummy_positive")).orderBy("link_id").limit(1)
+
+
 TRAIL = [
     ("parts", lambda d: d.keep(d.flatten(d.each("steps", lambda e: _parts(d, e))), lambda e: f"{e} <> '' AND NOT {d.matches(e, '(?i)^settings?$')}")),
     ("last_parts", lambda d: d.since("parts", f"greatest({d.size('parts')} - 2, 1)")),
@@ -282,7 +287,7 @@ def resolve(groups: DataFrame, catalog: DataFrame, mode: str = "hybrid", k: int
     rows = usable.select("gid", "depth", "leaf", "context", "polarity", "is_topic").join(hits, ["leaf", "context"]).join(F.broadcast(named), "doc_id").join(leaf_terms, "leaf")
     rows = rows.filter(~F.col("is_topic") | (F.col("polarity") != "open") | (F.col("kind") == "onClickURL"))
     want = F.when(F.col("polarity") == "on", "onURL").when(F.col("polarity") == "off", "offURL").otherwise("onClickURL")
-    bonus = F.when(F.col("kind") == want, 0.12).when((F.col("polarity") != "open") & (F.col("kind") == "onClickURL"), 0.04).when((F.col("polarity") != "open") & F.col("kind").isin("onURL", "offURL"), -0.08).otherwise(0.0)
+    bonus = F.when(F.col("kind") == want, C.WANTED).when((F.col("polarity") != "open") & (F.col("kind") == "onClickURL"), C.OPENED).when((F.col("polarity") != "open") & F.col("kind").isin("onURL", "offURL"), C.OPPOSED).otherwise(0.0)
     rows = rows.withColumn("adjusted", F.col("score") + bonus).withColumn("message_match", F.expr(name_match(D)))
     rows = rows.withColumn("passes", (F.col("coverage") >= C.COVERAGE) & (F.lit(mode == "keyword") | (F.col("dense") >= C.DENSE)) & (F.col("message_match") >= C.MESSAGE))
     per = rows.withColumn("nth", F.row_number().over(Window.partitionBy("gid", "depth").orderBy(F.col("passes").desc(), rounded(F.col("adjusted"), 9).desc(), "rank"))).filter("nth = 1")

@@ -142,11 +142,32 @@ def reference_pairing(spark, sf_dir):
     """Each complaint's article: the first with the same text, else the one at its line's place."""
     a = table(spark, sf_dir, "siis_responses").select("siis_id", "original_query")
     by_text = a.withColumn("norm", _norm(F.col("original_query"))).groupBy("norm").agg(F.min("siis_id").alias("by_text"))
-    place = a.select(F.col("siis_id").alias("by_place"))
+    place = a.select(F.col("siis_id").alias("by_place"), F.col("siis_id").alias("of_place"))
     c = table(spark, sf_dir, "complaints").select("complaint_id", F.col("ord").cast("bigint").alias("by_place"), _norm(F.col("query")).alias("norm"))
-    return c.join(by_text, "norm", "left").join(place, "by_place", "left_semi").select("complaint_id", F.coalesce("by_text", "by_place").alias("siis_id")).unionByName(
-        c.join(by_text, "norm", "left").join(place, "by_place", "left_anti").select("complaint_id", F.col("by_text").alias("siis_id"))
-    )
+    return c.join(by_text, "norm", "left").join(place, "by_place", "left").select("complaint_id", F.coalesce("by_text", "of_place").alias("siis_id"))
+
+
+def reference_lookup(spark, sf_dir):
+    """The article that each recorded plan names: the first delivered under that name."""
+    first = table(spark, sf_dir, "siis_responses").filter("id IS NOT NULL").groupBy("id").agg(F.min("siis_id").alias("siis_id"))
+    return table(spark, sf_dir, "results").select("result_id", "id").join(first, "id", "left").select("result_id", "siis_id")
+
+
+def reference_texts(spark, sf_dir):
+    """Articles as they are given to the pipeline: those with a title or content, what is missing as empty text."""
+    a = table(spark, sf_dir, "siis_responses").filter("coalesce(title, '') <> '' OR coalesce(content, '') <> ''")
+    return a.select("siis_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("content", F.lit("")).alias("content"))
+
+
+def category_notes(spark, sf_dir):
+    """What is told with each action of the recorded plans, by its category."""
+    notes = F.create_map(*(F.lit(x) for kv in C.NOTES.items() for x in kv))
+    return R.category(_flat(spark, sf_dir)["action"]).select(*R.ACTION, F.try_element_at(notes, F.col("category")).alias("note"))
+
+
+def failure_count(spark, sf_dir):
+    """All violations, and how many of them the report shows."""
+    return validate_rules(spark, sf_dir).agg(F.count("*").alias("n_failures")).select("n_failures", F.least("n_failures", F.lit(40)).cast("bigint").alias("n_shown"))
 
 
 def history_recent(spark, sf_dir):
@@ -181,7 +202,7 @@ def valid_links(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    failure_report, placeholder_entry, valid_links, uri_union, uri_semi, uri_anti, order_actions, plan_flatten, plan_top4, plan_repair, score_goal, validate_rules, validate_summary, validate_tally, rule_compliance, step_accuracy, link_relevance, reference_pairing, history_recent, explore_search,
+    failure_report, placeholder_entry, valid_links, uri_union, uri_semi, uri_anti, order_actions, plan_flatten, plan_top4, plan_repair, score_goal, validate_rules, validate_summary, validate_tally, rule_compliance, step_accuracy, link_relevance, reference_pairing, reference_lookup, reference_texts, category_notes, failure_count, history_recent, explore_search,
 )}
 
 _F = lambda x, *names: "coalesce(" + ", ".join(f"{x}->>'$.{n}'" for n in names) + ")" if len(names) > 1 else f"({x}->>'$.{names[0]}')"
@@ -220,6 +241,10 @@ _WORDS = lambda x: f"list_distinct(list_filter(string_split_regex(regexp_replace
 _NORM = lambda x: f"trim(regexp_replace(regexp_replace(lower(coalesce({x}, '')), '^\\s*\\d+[.)]\\s*', ''), '[^a-z0-9]+', ' ', 'g'))"
 _TEXT = T.description("stripped", "built")
 SQL = {
+    "reference_lookup": "SELECT result_id, s.siis_id FROM results LEFT JOIN (SELECT id, min(siis_id) AS siis_id FROM siis_responses WHERE id IS NOT NULL GROUP BY 1) s USING (id)",
+    "reference_texts": "SELECT siis_id, coalesce(title, '') AS title, coalesce(content, '') AS content FROM siis_responses WHERE coalesce(title, '') <> '' OR coalesce(content, '') <> ''",
+    "category_notes": f"{_P} SELECT result_id, context_no, action_no, CASE category {' '.join(f'WHEN {Checker().lit(k)} THEN {Checker().lit(v)}' for k, v in C.NOTES.items())} END AS note FROM a",
+    "failure_count": f"{_P} SELECT count(*) AS n_failures, least(count(*), 40)::bigint AS n_shown FROM ({_CHECKS})",
     "failure_report": f"{_P} SELECT * FROM ({_CHECKS}) ORDER BY result_id, path, rule LIMIT 40",
     "placeholder_entry": "SELECT link_id, deeplink FROM deeplinks WHERE contains(deeplink, 'dummy_positive') ORDER BY link_id LIMIT 1",
     "valid_links": f"SELECT link_id, coalesce(deeplink LIKE '{C.SCHEME}%', false) AND trim(coalesce(description, '')) <> '' AND NOT {T.contains_url(K, "coalesce(description, '')")} AND NOT {T.contains_url(K, "coalesce(message, '')")} AS valid FROM deeplinks",

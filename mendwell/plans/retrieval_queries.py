@@ -156,26 +156,49 @@ def resolve_screen_keyword(spark, sf_dir):
     return _resolved(spark, sf_dir, "keyword").select(*_SHOWN)
 
 
-def _decided(df):
+def _decided(spark, sf_dir, mode="hybrid"):
+    """Groups with their decision and what the catalog has for it; a placeholder only where the catalog has one."""
+    catalog = table(spark, sf_dir, "deeplinks")
+    holder = F.broadcast(R.placeholder(catalog).select(F.col("deeplink").alias("ph_deeplink"), F.coalesce("original_type", F.lit("placeholder")).alias("ph_type")))  # one row or none
+    rows = _resolved(spark, sf_dir, mode).join(holder, F.lit(True), "left")
     manual = F.coalesce("category", F.lit("manual")) == "manual"
-    return df.withColumn("decision", F.when(manual, "manual-no-deeplink").when(F.col("reason") == "matched", "matched").when((F.col("reason") == "below-threshold") & F.col("on_settings"), "placeholder").otherwise("no-match"))
+    generic = (F.col("reason") == "below-threshold") & F.col("on_settings") & F.col("ph_deeplink").isNotNull()
+    return rows.withColumn("decision", F.when(manual, "manual-no-deeplink").when(F.col("reason") == "matched", "matched").when(generic, "placeholder").otherwise("no-match"))
 
 
 def map_deeplinks(spark, sf_dir):
-    docs = F.broadcast(_catalog(spark, sf_dir).select("doc_id", "deeplink"))
-    rows = _decided(_resolved(spark, sf_dir)).join(docs, "doc_id", "left")
-    return rows.select("gid", "decision", F.when(F.col("decision") == "matched", F.col("deeplink")).alias("deeplink"), F.when(F.col("decision") == "placeholder", F.concat(F.lit("Open "), "target", F.lit(" settings on the device"))).alias("description"), F.when(F.col("decision") == "placeholder", F.substring(F.concat(F.lit("Open "), "target"), 1, 60)).alias("message"))
+    """What each group of steps gets: the entry's link, texts and type, and the link that checks it with its four fields; the placeholder's; or nothing."""
+    checks = ("validation_deeplink", "validation_key", "validation_result_type", "validation_condition", "validation_value")
+    plain = [F.expr(T.scrub(R.D, f"coalesce({x}, '')")).alias(f"own_{x}") for x in ("description", "message")]
+    entries = table(spark, sf_dir, "deeplinks").select(F.col("link_id").alias("doc_id"), "deeplink", "original_type", *plain, *checks)
+    rows = _decided(spark, sf_dir).join(entries, "doc_id", "left")
+    case = lambda own, generic: F.when(F.col("decision") == "matched", own).when(F.col("decision") == "placeholder", generic)
+    return rows.select(
+        "gid", "decision",
+        case(F.col("deeplink"), F.col("ph_deeplink")).alias("deeplink"),
+        case(F.col("own_description"), F.concat(F.lit("Open "), F.coalesce("target", F.lit("the relevant")), F.lit(" settings on the device"))).alias("description"),
+        case(F.col("own_message"), F.substring(F.concat(F.lit("Open "), F.coalesce("target", F.lit("Settings"))), 1, 60)).alias("message"),
+        case(F.col("original_type"), F.col("ph_type")).alias("original_type"),
+        *(F.when((F.col("decision") == "matched") & F.col("validation_deeplink").isNotNull(), F.col(c)).alias(c) for c in checks),
+    )
 
 
 def map_report(spark, sf_dir):
-    return _decided(_resolved(spark, sf_dir)).groupBy("decision").agg(F.count("*").alias("n"))
+    return _decided(spark, sf_dir).groupBy("decision").agg(F.count("*").alias("n"))
 
 
 def ablation(spark, sf_dir):
-    both = [_decided(_resolved(spark, sf_dir, m)).withColumn("mode", F.lit(m)) for m in ("hybrid", "keyword")]
+    both = [_decided(spark, sf_dir, m).withColumn("mode", F.lit(m)) for m in ("hybrid", "keyword")]
     return both[0].unionByName(both[1]).groupBy("mode", "decision").agg(F.count("*").alias("n"))
 
 
+def screen_phrase(spark, sf_dir):
+    """The way to a screen as one phrase: what is passed on the way, and the screen that is tried first."""
+    g = R.frame(_groups(spark, sf_dir).select("gid", "steps", "action_name"), R.TRAIL)
+    passed = F.array_join(F.slice("parts", F.lit(1), F.greatest(F.size("parts") - 1, F.lit(0))), " ")
+    return g.select("gid", F.when(F.size("parts") > 0, F.trim(F.concat_ws(" ", F.nullif(passed, F.lit("")), F.get("reversed", F.lit(0))))).alias("phrase"))
+
+
 def embedding_cosine_topk(spark, sf_dir):
     """The five nearest other vectors by cosine; the queries are the vectors whose id is divisible by 20, the index all of them."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
@@ -187,7 +210,7 @@ def troubleshoot(spark, sf_dir):
     return pipeline.troubleshoot(spread(table(spark, sf_dir, "siis_responses").select("siis_id", "original_query", "title", "content")), table(spark, sf_dir, "deeplinks"))
 
 
-QUERIES = {f.__name__: f for f in (troubleshoot, embedding_cosine_topk, term_freq, doc_freq, avg_doc_len, bm25_topk, hybrid_topk, keyword_mode_topk, gram_buckets, dense_cosine, screen_trail, resolve_screen, resolve_screen_keyword, map_deeplinks, map_report, ablation)}
+QUERIES = {f.__name__: f for f in (troubleshoot, embedding_cosine_topk, term_freq, doc_freq, avg_doc_len, bm25_topk, hybrid_topk, keyword_mode_topk, gram_buckets, dense_cosine, screen_trail, resolve_screen, resolve_screen_keyword, map_deeplinks, map_report, ablation, screen_phrase)}
 
 _GROUPS = f"""{PLANS},
 groups AS (SELECT concat_ws('-', s.result_id, s.context_no, s.action_no, s.group_no) AS gid, s.steps, a.v->>'$.actionName' AS name1, a.v->>'$.action_name' AS name2, a.v->>'$.category' AS category
@@ -219,7 +242,8 @@ chosen AS (SELECT * FROM tops QUALIFY row_number() OVER (PARTITION BY gid ORDER
 resolved AS (SELECT t.gid, t.category, CASE WHEN h.gid IS NULL THEN CASE WHEN len(parts) > 0 THEN 'no-usable-target' ELSE 'no-screen-in-steps' END WHEN c.gid IS NULL THEN 'no-candidates' WHEN passes THEN 'matched' ELSE 'below-threshold' END AS reason,
   t.polarity, t.on_settings, c.leaf AS target, CASE WHEN passes THEN c.doc_id END AS doc_id, {_R6.format('coverage')} AS coverage, {_R6.format('dense')} AS dense, {_R6.format('message_match')} AS message_match
   FROM trails t LEFT JOIN (SELECT DISTINCT gid FROM usable) h USING (gid) LEFT JOIN chosen c USING (gid)),
-decided AS (SELECT *, CASE WHEN coalesce(category, 'manual') = 'manual' THEN 'manual-no-deeplink' WHEN reason = 'matched' THEN 'matched' WHEN reason = 'below-threshold' AND on_settings THEN 'placeholder' ELSE 'no-match' END AS decision FROM resolved)"""
+decided AS (SELECT *, CASE WHEN coalesce(category, 'manual') = 'manual' THEN 'manual-no-deeplink' WHEN reason = 'matched' THEN 'matched' WHEN reason = 'below-threshold' AND on_settings AND ph_deeplink IS NOT NULL THEN 'placeholder' ELSE 'no-match' END AS decision
+  FROM resolved LEFT JOIN (SELECT deeplink AS ph_deeplink, coalesce(original_type, 'placeholder') AS ph_type FROM deeplinks WHERE contains(deeplink, 'dummy_positive') ORDER BY link_id LIMIT 1) ON TRUE)"""
 
 
 _ASKED = f"""{ARTICLES},
@@ -248,7 +272,14 @@ SQL = {
     "screen_trail": f"{_GROUPS} SELECT gid, array_to_string(candidates, ' | ') AS candidates, polarity, on_settings FROM trails",
     "resolve_screen": f"{_resolve('hybrid')} SELECT {', '.join(_SHOWN)} FROM resolved",
     "resolve_screen_keyword": f"{_resolve('keyword')} SELECT {', '.join(_SHOWN)} FROM resolved",
-    "map_deeplinks": f"{_resolve('hybrid')} SELECT gid, decision, CASE WHEN decision = 'matched' THEN deeplink END AS deeplink, CASE WHEN decision = 'placeholder' THEN 'Open ' || target || ' settings on the device' END AS description, CASE WHEN decision = 'placeholder' THEN substr('Open ' || target, 1, 60) END AS message FROM decided LEFT JOIN (SELECT doc_id, deeplink FROM catalog) USING (doc_id)",
+    "map_deeplinks": f"""{_resolve('hybrid')}, entry_texts AS (SELECT * FROM {sql('(SELECT link_id, deeplink, original_type, description, message, validation_deeplink, validation_key, validation_result_type, validation_condition, validation_value FROM deeplinks)', [('own_description', lambda d: T.scrub(d, "coalesce(description, '')")), ('own_message', lambda d: T.scrub(d, "coalesce(message, '')"))])})
+      SELECT gid, decision, CASE decision WHEN 'matched' THEN t.deeplink WHEN 'placeholder' THEN ph_deeplink END AS deeplink,
+      CASE decision WHEN 'matched' THEN own_description WHEN 'placeholder' THEN 'Open ' || coalesce(target, 'the relevant') || ' settings on the device' END AS description,
+      CASE decision WHEN 'matched' THEN own_message WHEN 'placeholder' THEN substr('Open ' || coalesce(target, 'Settings'), 1, 60) END AS message,
+      CASE decision WHEN 'matched' THEN original_type WHEN 'placeholder' THEN ph_type END AS original_type,
+      {', '.join(f"CASE WHEN decision = 'matched' AND validation_deeplink IS NOT NULL THEN {c} END AS {c}" for c in ('validation_deeplink', 'validation_key', 'validation_result_type', 'validation_condition', 'validation_value'))}
+      FROM decided LEFT JOIN entry_texts t ON t.link_id = decided.doc_id""",
+    "screen_phrase": f"{_GROUPS} SELECT gid, CASE WHEN len(parts) > 0 THEN trim(concat_ws(' ', nullif(array_to_string(parts[1:len(parts) - 1], ' '), ''), array_to_string(string_split_regex(parts[-1], '\\s+')[1:4], ' '))) END AS phrase FROM trails",
     "map_report": f"{_resolve('hybrid')} SELECT decision, count(*) AS n FROM decided GROUP BY 1",
     "ablation": " UNION ALL ".join(f"SELECT * FROM ({_resolve(m)} SELECT '{m}' AS mode, decision, count(*) AS n FROM decided GROUP BY 1, 2)" for m in ("hybrid", "keyword")),
 }

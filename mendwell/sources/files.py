@@ -7,8 +7,12 @@ tables, and lines that aren't records as nothing, where the format says so.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..functions import constants as C
+from ..operators.metrics import newest
 
 VALIDATION = "struct<deeplink:string, key:string, resultType:string, condition:string, value:string>"
 LINK = "struct<deeplink:string, description:string, message:string, originalType:string>"
@@ -18,7 +22,7 @@ RECORD = f"id string, run string, query string, of string, query_variations arra
 KEPT = f"id string, key string, query string, query_variations array<string>, response {PLAN}"
 
 
-def _or_empty(spark: SparkSession, read, schema: str) -> DataFrame:
+def _or_empty(spark: SparkSession, read, schema: str | StructType) -> DataFrame:
     try:
         return read()
     except AnalysisException as e:
@@ -48,10 +52,19 @@ def articles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def complaints(spark: SparkSession, path: str) -> DataFrame:
-    """(source_file, ord, query): one complaint a line, without its number; blank lines are none but keep their place."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("source_file"), F.posexplode(F.split("value", r"\r?\n")).alias("at", "line"))
-    query = F.regexp_replace(F.regexp_replace("line", r"^\s*\d+[.)]\s*", ""), r"^\s+|\s+$", "")
-    return files.select("source_file", (F.col("at") + 1).alias("ord"), query.alias("query")).filter("query <> ''")
+    """(source_file, ord, query): one complaint a line, without its number; blank lines are none but keep their place.
+
+    Files are read by lines, in as many splits as they have. A line's place is its place in its split after all lines of the file's splits
+    before, which are known from one row a split.
+    """
+    lines = spark.read.text(path, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("split"), "value", F.monotonically_increasing_id().alias("seq")
+    )
+    splits = lines.groupBy("file", "split").agg(F.min("seq").alias("first_seq"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = lines.join(splits.select("file", "split", (before - F.col("first_seq") + 1).alias("shift")), ["file", "split"])
+    query = F.regexp_replace(F.regexp_replace("value", r"^\s*\d+[.)]\s*", ""), r"^\s+|\s+$", "")
+    return placed.select("source_file", (F.col("seq") + F.col("shift")).alias("ord"), query.alias("query")).filter("query <> ''")
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
@@ -79,3 +92,14 @@ def report(summary: DataFrame, title: str) -> str:
     lines = [f"# {title}", "", "| measure | value |", "|---|---|"]
     lines += [f"| {k} | {'n/a' if v is None else v} |" for k, v in (row[0].asDict().items() if row else [])]
     return "\n".join(lines) + "\n"
+
+
+def write_snapshot(samples: DataFrame, counters: DataFrame, path: str, most: int = C.SNAPSHOT) -> None:
+    """The state of the metrics: its counters, and the newest samples that a snapshot keeps (the limit is the feature)."""
+    newest(samples, most).write.mode("overwrite").json(f"{path}/samples")
+    counters.write.mode("overwrite").json(f"{path}/counters")
+
+
+def snapshot(spark: SparkSession, path: str, samples: StructType, counters: StructType) -> tuple[DataFrame, DataFrame]:
+    """(samples, counters) of a snapshot; empty where there is none."""
+    return tuple(_or_empty(spark, lambda n=name, k=kind: spark.read.schema(k).json(f"{path}/{n}"), kind) for name, kind in (("samples", samples), ("counters", counters)))

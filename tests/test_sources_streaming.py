@@ -37,6 +37,30 @@ def test_records_round_trip_and_bad_lines(spark, tmp_path):
     assert "| n | 2 |" in files.report(df.agg(F.count("*").alias("n")), "Runs")
 
 
+def test_complaint_lines_of_many_splits(spark, tmp_path):
+    want = set()
+    for f in range(3):
+        rows = [f"{i}. complaint {f} number {i} " + "x" * (i % 50) if i % 7 else "" for i in range(1, 2000 + f)]
+        (tmp_path / f"in{f}.txt").write_text("\n".join(rows))
+        want |= {(f"in{f}.txt", i, r.split(". ", 1)[1].strip()) for i, r in enumerate(rows, 1) if r}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        got = {tuple(r) for r in files.complaints(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == want
+
+
+def test_snapshot_round_trip(spark, tmp_path):
+    samples = spark.createDataFrame([(i, datetime(2024, 1, 1) + timedelta(seconds=i), float(i)) for i in range(20)], "sample_id bigint, t timestamp, ms double")
+    counters = samples.agg(F.count("*").alias("requests"))
+    files.write_snapshot(samples, counters, str(tmp_path / "s"), 5)
+    kept, counted = files.snapshot(spark, str(tmp_path / "s"), samples.schema, counters.schema)
+    assert sorted(r.sample_id for r in kept.collect()) == [15, 16, 17, 18, 19] and counted.collect()[0].requests == 20
+    assert [df.count() for df in files.snapshot(spark, str(tmp_path / "none"), samples.schema, counters.schema)] == [0, 0]
+
+
 def drain(spark, df, name):
     q = df.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
