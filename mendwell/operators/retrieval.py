@@ -298,3 +298,26 @@ def resolve(groups: DataFrame, catalog: DataFrame, mode: str = "hybrid", k: int
     out = trail.select("gid", "polarity", "on_settings", F.size("parts").alias("n_parts")).join(any_usable, "gid", "left").join(chosen, "gid", "left")
     reason = F.when(F.col("has_target").isNull(), F.when(F.col("n_parts") > 0, "no-usable-target").otherwise("no-screen-in-steps")).when(F.col("leaf").isNull(), "no-candidates").when(F.col("passes"), "matched").otherwise("below-threshold")
     return out.select("gid", reason.alias("reason"), "polarity", "on_settings", F.col("leaf").alias("target"), F.when(F.col("passes"), F.col("doc_id")).alias("doc_id"), rounded(F.col("coverage")).alias("coverage"), rounded(F.col("dense")).alias("dense"), rounded(F.col("message_match")).alias("message_match"))
+
+
+CHECKS = ("validation_deeplink", "validation_key", "validation_result_type", "validation_condition", "validation_value")
+
+
+def mapped(resolved: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Resolved groups (with their category) and their decision: with the entry's link, texts, type and check; the placeholder's, if the catalog has one; or nothing."""
+    holder = F.broadcast(placeholder(catalog).select(F.col("deeplink").alias("ph_deeplink"), F.coalesce("original_type", F.lit("placeholder")).alias("ph_type")))  # one row or none
+    plain = [F.expr(T.scrub(D, f"coalesce({x}, '')")).alias(f"own_{x}") for x in ("description", "message")]
+    entries = catalog.select(F.col("link_id").alias("doc_id"), F.col("deeplink").alias("own_deeplink"), F.col("original_type").alias("own_type"), *plain, *(F.col(c).alias(f"own_{c}") for c in CHECKS))
+    rows = resolved.join(holder, F.lit(True), "left").join(entries, "doc_id", "left")
+    manual = F.coalesce("category", F.lit("manual")) == "manual"
+    generic = (F.col("reason") == "below-threshold") & F.col("on_settings") & F.col("ph_deeplink").isNotNull()
+    decision = F.when(manual, "manual-no-deeplink").when(F.col("reason") == "matched", "matched").when(generic, "placeholder").otherwise("no-match")
+    case = lambda own, other: F.when(F.col("decision") == "matched", own).when(F.col("decision") == "placeholder", other)
+    shown = {
+        "deeplink": case(F.col("own_deeplink"), F.col("ph_deeplink")),
+        "link_description": case(F.col("own_description"), F.concat(F.lit("Open "), F.coalesce("target", F.lit("the relevant")), F.lit(" settings on the device"))),
+        "link_message": case(F.col("own_message"), F.substring(F.concat(F.lit("Open "), F.coalesce("target", F.lit("Settings"))), 1, 60)),
+        "link_type": case(F.col("own_type"), F.col("ph_type")),
+        **{c: F.when((F.col("decision") == "matched") & F.col("own_validation_deeplink").isNotNull(), F.col(f"own_{c}")) for c in CHECKS},
+    }
+    return rows.withColumn("decision", decision).select(*resolved.columns, "decision", *(v.alias(k) for k, v in shown.items()))

@@ -157,30 +157,12 @@ def resolve_screen_keyword(spark, sf_dir):
 
 
 def _decided(spark, sf_dir, mode="hybrid"):
-    """Groups with their decision and what the catalog has for it; a placeholder only where the catalog has one."""
-    catalog = table(spark, sf_dir, "deeplinks")
-    holder = F.broadcast(R.placeholder(catalog).select(F.col("deeplink").alias("ph_deeplink"), F.coalesce("original_type", F.lit("placeholder")).alias("ph_type")))  # one row or none
-    rows = _resolved(spark, sf_dir, mode).join(holder, F.lit(True), "left")
-    manual = F.coalesce("category", F.lit("manual")) == "manual"
-    generic = (F.col("reason") == "below-threshold") & F.col("on_settings") & F.col("ph_deeplink").isNotNull()
-    return rows.withColumn("decision", F.when(manual, "manual-no-deeplink").when(F.col("reason") == "matched", "matched").when(generic, "placeholder").otherwise("no-match"))
+    return R.mapped(_resolved(spark, sf_dir, mode), table(spark, sf_dir, "deeplinks"))
 
 
 def map_deeplinks(spark, sf_dir):
     """What each group of steps gets: the entry's link, texts and type, and the link that checks it with its four fields; the placeholder's; or nothing."""
-    checks = ("validation_deeplink", "validation_key", "validation_result_type", "validation_condition", "validation_value")
-    plain = [F.expr(T.scrub(R.D, f"coalesce({x}, '')")).alias(f"own_{x}") for x in ("description", "message")]
-    entries = table(spark, sf_dir, "deeplinks").select(F.col("link_id").alias("doc_id"), "deeplink", "original_type", *plain, *checks)
-    rows = _decided(spark, sf_dir).join(entries, "doc_id", "left")
-    case = lambda own, generic: F.when(F.col("decision") == "matched", own).when(F.col("decision") == "placeholder", generic)
-    return rows.select(
-        "gid", "decision",
-        case(F.col("deeplink"), F.col("ph_deeplink")).alias("deeplink"),
-        case(F.col("own_description"), F.concat(F.lit("Open "), F.coalesce("target", F.lit("the relevant")), F.lit(" settings on the device"))).alias("description"),
-        case(F.col("own_message"), F.substring(F.concat(F.lit("Open "), F.coalesce("target", F.lit("Settings"))), 1, 60)).alias("message"),
-        case(F.col("original_type"), F.col("ph_type")).alias("original_type"),
-        *(F.when((F.col("decision") == "matched") & F.col("validation_deeplink").isNotNull(), F.col(c)).alias(c) for c in checks),
-    )
+    return _decided(spark, sf_dir).select("gid", "decision", "deeplink", F.col("link_description").alias("description"), F.col("link_message").alias("message"), F.col("link_type").alias("original_type"), *R.CHECKS)
 
 
 def map_report(spark, sf_dir):
@@ -210,7 +192,15 @@ def troubleshoot(spark, sf_dir):
     return pipeline.troubleshoot(spread(table(spark, sf_dir, "siis_responses").select("siis_id", "original_query", "title", "content")), table(spark, sf_dir, "deeplinks"))
 
 
-QUERIES = {f.__name__: f for f in (troubleshoot, embedding_cosine_topk, term_freq, doc_freq, avg_doc_len, bm25_topk, hybrid_topk, keyword_mode_topk, gram_buckets, dense_cosine, screen_trail, resolve_screen, resolve_screen_keyword, map_deeplinks, map_report, ablation, screen_phrase)}
+def troubleshoot_plan(spark, sf_dir):
+    """The plans of the answered articles as flat rows: one for each group of steps."""
+    a = spread(table(spark, sf_dir, "siis_responses").select("siis_id", "original_query", "title", "content"))
+    outcomes, groups = pipeline.planned(a, table(spark, sf_dir, "deeplinks"))
+    rows = groups.join(outcomes.filter("outcome = 'answered'").select("siis_id"), "siis_id")
+    return rows.select("siis_id", "action_no", "group_no", "action_name", "description", "category", F.array_join("steps", " | ").alias("steps"), "decision", "deeplink", "link_message", *R.CHECKS)
+
+
+QUERIES = {f.__name__: f for f in (troubleshoot, troubleshoot_plan, embedding_cosine_topk, term_freq, doc_freq, avg_doc_len, bm25_topk, hybrid_topk, keyword_mode_topk, gram_buckets, dense_cosine, screen_trail, resolve_screen, resolve_screen_keyword, map_deeplinks, map_report, ablation, screen_phrase)}
 
 _GROUPS = f"""{PLANS},
 groups AS (SELECT concat_ws('-', s.result_id, s.context_no, s.action_no, s.group_no) AS gid, s.steps, a.v->>'$.actionName' AS name1, a.v->>'$.action_name' AS name2, a.v->>'$.category' AS category
@@ -256,9 +246,16 @@ tallied AS (SELECT siis_id, count(*) AS n_groups, sum(len(steps))::bigint AS n_s
 acted AS (SELECT siis_id, count(*) AS n_actions FROM actions GROUP BY 1),
 outcomes AS (SELECT * FROM {sql('(SELECT q.*, n_actions, n_groups, n_steps, n_auto, n_matched, n_placeholder FROM questions q LEFT JOIN acted USING (siis_id) LEFT JOIN tallied USING (siis_id))', [*pipeline.OUTCOME, ('qs', lambda d: d.distinct(pipeline.overlap_words(d, 'query'))), ('ts', lambda d: d.distinct(pipeline.overlap_words(d, 'title')))])})"""
 _TOP = f"SELECT q, doc_id, {', '.join(f'{_R6.format(x)} AS {x}' for x in ('score', 'keyword', 'dense', 'coverage'))}, rank FROM ranked"
+_ENTRY_TEXTS = f"""entry_texts AS (SELECT * FROM {sql('(SELECT link_id, deeplink, original_type, description, message, validation_deeplink, validation_key, validation_result_type, validation_condition, validation_value FROM deeplinks)', [('own_description', lambda d: T.scrub(d, "coalesce(description, '')")), ('own_message', lambda d: T.scrub(d, "coalesce(message, '')"))])})"""
+_CHECK_FIELDS = ", ".join(f"CASE WHEN decision = 'matched' AND validation_deeplink IS NOT NULL THEN {c} END AS {c}" for c in R.CHECKS)
 _IF = lambda x: f"CASE WHEN outcome = 'answered' THEN {x} END"
 SQL = {
     "troubleshoot": f"{_SHARED} SELECT siis_id, outcome, {', '.join(f'{_IF(x)} AS {x}' for x in ('goal_text', 'title_text', 'n_actions', 'n_groups', 'n_steps', 'n_matched', 'n_placeholder'))}, {_IF('greatest(0.05, least(0.99, floor((0.45 * CASE WHEN n_auto = 0 THEN 1.0 ELSE n_matched / n_auto END + 0.30 * least(1.0, n_steps / 8) + 0.25 * CASE WHEN len(qs) = 0 OR len(ts) = 0 THEN 0.4 ELSE len(list_intersect(qs, ts)) / len(ts) END) * 100 + 0.5) / 100))::double')} AS score FROM outcomes",
+    "troubleshoot_plan": f"""{_SHARED}, {_ENTRY_TEXTS},
+      mine AS (SELECT n.gid, n.siis_id, split_part(n.gid, '-', 2)::bigint AS section_no, split_part(n.gid, '-', 3)::bigint AS group_no, n.steps FROM named n JOIN outcomes o USING (siis_id) WHERE o.outcome = 'answered')
+      SELECT m.siis_id, a.action_no, m.group_no, a.action_name, a.description, a.category, array_to_string(m.steps, ' | ') AS steps, d.decision, CASE decision WHEN 'matched' THEN t.deeplink WHEN 'placeholder' THEN ph_deeplink END AS deeplink,
+      CASE decision WHEN 'matched' THEN own_message WHEN 'placeholder' THEN substr('Open ' || coalesce(target, 'Settings'), 1, 60) END AS link_message, {_CHECK_FIELDS}
+      FROM mine m JOIN decided d USING (gid) JOIN actions a USING (siis_id, section_no) LEFT JOIN entry_texts t ON t.link_id = d.doc_id""",
     "embedding_cosine_topk": f"""WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) AS dim, unnest(embedding)::double AS x FROM embeddings), w AS (SELECT vec_id, sqrt(sum(x * x)) AS norm FROM e GROUP BY 1), u AS (SELECT vec_id, dim, x / norm AS x FROM e JOIN w USING (vec_id)),
       near AS (SELECT a.vec_id AS q, b.vec_id, {_R6.format('sum(a.x * b.x)')} AS cosine FROM u a JOIN u b USING (dim) WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, vec_id) AS rank FROM near QUALIFY rank <= 5""",
     "term_freq": f"WITH {_index('documents', 'doc_id')} SELECT doc_id, term, tf FROM posts",
@@ -272,12 +269,12 @@ SQL = {
     "screen_trail": f"{_GROUPS} SELECT gid, array_to_string(candidates, ' | ') AS candidates, polarity, on_settings FROM trails",
     "resolve_screen": f"{_resolve('hybrid')} SELECT {', '.join(_SHOWN)} FROM resolved",
     "resolve_screen_keyword": f"{_resolve('keyword')} SELECT {', '.join(_SHOWN)} FROM resolved",
-    "map_deeplinks": f"""{_resolve('hybrid')}, entry_texts AS (SELECT * FROM {sql('(SELECT link_id, deeplink, original_type, description, message, validation_deeplink, validation_key, validation_result_type, validation_condition, validation_value FROM deeplinks)', [('own_description', lambda d: T.scrub(d, "coalesce(description, '')")), ('own_message', lambda d: T.scrub(d, "coalesce(message, '')"))])})
+    "map_deeplinks": f"""{_resolve('hybrid')}, {_ENTRY_TEXTS}
       SELECT gid, decision, CASE decision WHEN 'matched' THEN t.deeplink WHEN 'placeholder' THEN ph_deeplink END AS deeplink,
       CASE decision WHEN 'matched' THEN own_description WHEN 'placeholder' THEN 'Open ' || coalesce(target, 'the relevant') || ' settings on the device' END AS description,
       CASE decision WHEN 'matched' THEN own_message WHEN 'placeholder' THEN substr('Open ' || coalesce(target, 'Settings'), 1, 60) END AS message,
       CASE decision WHEN 'matched' THEN original_type WHEN 'placeholder' THEN ph_type END AS original_type,
-      {', '.join(f"CASE WHEN decision = 'matched' AND validation_deeplink IS NOT NULL THEN {c} END AS {c}" for c in ('validation_deeplink', 'validation_key', 'validation_result_type', 'validation_condition', 'validation_value'))}
+      {_CHECK_FIELDS}
       FROM decided LEFT JOIN entry_texts t ON t.link_id = decided.doc_id""",
     "screen_phrase": f"{_GROUPS} SELECT gid, CASE WHEN len(parts) > 0 THEN trim(concat_ws(' ', nullif(array_to_string(parts[1:len(parts) - 1], ' '), ''), array_to_string(string_split_regex(parts[-1], '\\s+')[1:4], ' '))) END AS phrase FROM trails",
     "map_report": f"{_resolve('hybrid')} SELECT decision, count(*) AS n FROM decided GROUP BY 1",
