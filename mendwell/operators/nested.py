@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from json.decoder import JSONDecodeError, scanstring
 
 import pyarrow as pa
@@ -125,11 +126,22 @@ def events(text: str) -> Iterator[tuple[str, str | None]]:
             at += 1
 
 
+@lru_cache(65_536)
 def spelling(key: str) -> str:
     """Keys of the record versions differ in case and in marks between words."""
     return re.sub(r"[^a-z0-9]", "", key.lower())
 
 
+@lru_cache
+def _spelled(shape: Shape) -> tuple[list[str], list[dict[str, str]], list[set[str]], set[str], list[str]]:
+    """The keys of the levels, their fields by spelling, the objects that hold such fields, the wrappers, and the levels' paths."""
+    names = [spelling(x.key) for x in shape.levels]
+    scalars = [{".".join(map(spelling, f.split("."))): f for f in x.fields} for x in shape.levels]
+    heads = [{f.split(".")[0] for f in s if "." in f} for s in scalars]
+    paths = ["/".join(x.key for x in shape.levels[: i + 1]) for i in range(len(shape.levels))]
+    return names, scalars, heads, set(map(spelling, shape.wrappers)), paths
+
+
 def triples(text: str | None, shape: Shape) -> list[tuple[str, list[int], str | None]]:
     """The (path, ordinals, value) triples of one record; an object has a triple of its own with path '<array>' and no value.
 
@@ -137,12 +149,7 @@ def triples(text: str | None, shape: Shape) -> list[tuple[str, list[int], str |
     """
     if text is None or not text.strip(" \t\r\n﻿"):
         return []
-    names = [spelling(x.key) for x in shape.levels]
-    canon = {spelling(x.key): x.key for x in shape.levels}
-    scalars = [{".".join(map(spelling, f.split("."))): f for f in x.fields} for x in shape.levels]
-    heads = [{f.split(".")[0] for f in s if "." in f} for s in scalars]
-    wrappers = set(map(spelling, shape.wrappers))
-    paths = ["/".join(x.key for x in shape.levels[: i + 1]) for i in range(len(shape.levels))]
+    names, scalars, heads, wrappers, paths = _spelled(shape)
     out: list[tuple[str, list[int], str | None]] = []
     # A frame is (role, depth, ordinals, counter, seen keys). Roles: root (before the outermost array), array (of
     # the level depth), node (an element of it), link (an object of scalars in a node), skip.
