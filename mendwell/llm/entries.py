@@ -142,34 +142,32 @@ def resolve(steps: DataFrame, step: str, catalog: DataFrame) -> DataFrame:
     """The steps with the id of the entry each leads to (link_id, 0 for none)."""
     entries = cut(catalog_names(catalog))  # a few names for each entry, read by many joins
     names = entries.select("name").distinct().withColumn("words", tokens(F.col("name")))
-    index = names.select("name", F.posexplode("words").alias("at", "word"))
-    holds = index.select("name", "word").distinct()
+    index = names.select("name", F.explode("words").alias("word")).groupBy("name", "word").agg(F.count("*").alias("times"))
     total = names.agg(F.count("*").alias("n_names"))
-    weight = holds.groupBy("word").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).select("word", F.log(1 + F.col("n_names") / F.col("df")).alias("idf"))  # one row of totals
+    weight = cut(index.groupBy("word").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).select("word", F.log(1 + F.col("n_names") / F.col("df")).alias("idf")))  # one row of totals
+    mass = F.col("idf") * F.col("idf")
+    holds = index.join(weight, "word").withColumn("name_norm", F.sqrt(F.sum(mass * F.col("times")).over(Window.partitionBy("name")))).withColumn("n_words", F.count("*").over(Window.partitionBy("name")))
+    # a name is accepted only if its matched words hold ACCEPT squared of its weight, so one of those words must be among its rarest ones,
+    # the others of which hold less: common words bring no pair together that isn't brought by a rare one
+    so_far = F.sum(mass).over(Window.partitionBy("name").orderBy("idf", "word"))
+    holds = cut(holds.withColumn("rare", so_far >= (ACCEPT * F.col("name_norm")) ** 2 - 1e-9).select("name", "word", "idf", "name_norm", "n_words", "rare"))
     rarest = F.log(1 + 2 * F.col("n_names"))
-    norms = index.join(weight, "word").groupBy("name").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("name_norm"), F.countDistinct("word").alias("n_words"))
     joined = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.struct(F.concat(F.get("words", i - 1), F.get("words", i)).alias("word"), F.array(F.get("words", i - 1), F.get("words", i)).alias("parts")))
     pairs = names.filter(F.size("words") > 1).select(F.explode(joined).alias("p")).select("p.word", "p.parts").distinct()
     singles = weight.select("word", F.array("word").alias("parts"))
-    vocabulary = singles.unionByName(pairs)
+    vocabulary = cut(singles.unionByName(pairs))
 
     distinct = steps.select(F.col(step).alias("typed")).filter(F.col("typed").isNotNull()).groupBy("typed").agg(F.count("*").alias("n_rows")).drop("n_rows")
     read = cut(distinct.select("typed", effect(F.col("typed")).alias("effect"), name(F.col("typed")).alias("said")))
     said = read.select("said").distinct().select("said", F.posexplode(tokens(F.col("said"))).alias("at", "token"))
     fixed = cut(repaired(said.select("token").distinct(), vocabulary.select("word").distinct()))
     words = said.join(fixed, "token").join(vocabulary, "word").select("said", "at", F.explode("parts").alias("word"), "similarity")
-    # a name is accepted only if its matched words hold ACCEPT squared of its weight, so one of those words must be among its rarest ones,
-    # the others of which hold less: common words bring no pair together that isn't brought by a rare one
-    by_rarity = Window.partitionBy("name").orderBy("idf", "word")
-    mass = F.col("idf") * F.col("idf")
-    rare = holds.join(weight, "word").join(norms, "name").withColumn("so_far", F.sum(mass).over(by_rarity)).filter(F.col("so_far") >= (ACCEPT * F.col("name_norm")) ** 2 - 1e-9).select("name", "word")
-    near = words.join(rare, "word").select("said", "name").distinct()
-    meets = near.join(words, "said").join(holds, ["name", "word"]).groupBy("said", "name", "at", "word").agg(F.max("similarity").alias("similarity"))
-    best = meets.join(weight, "word").select("said", "name", "at", "word", "similarity", "idf")
+    near = words.join(holds.filter("rare"), "word").select("said", "name").distinct()
+    best = near.join(words, "said").join(holds, ["name", "word"]).groupBy("said", "name", "at", "word").agg(F.max("similarity").alias("similarity"), *(F.first(c).alias(c) for c in ("idf", "name_norm", "n_words")))
     score = best.withColumn("rank", F.row_number().over(Window.partitionBy("said", "name", "word").orderBy(F.col("similarity").desc(), "at"))).filter("rank = 1")
-    met = score.groupBy("said", "name").agg(F.sum(F.col("similarity") * F.col("idf") * F.col("idf")).alias("dot"), F.sum(F.col("idf") * F.col("idf")).alias("mass"), F.countDistinct("at").alias("used"), F.count("*").alias("held"))
+    met = score.groupBy("said", "name").agg(F.sum(F.col("similarity") * F.col("idf") * F.col("idf")).alias("dot"), F.sum(F.col("idf") * F.col("idf")).alias("mass"), F.countDistinct("at").alias("used"), F.count("*").alias("held"), F.first("name_norm").alias("name_norm"), F.first("n_words").alias("n_words"))
     sizes = said.groupBy("said").agg(F.count("*").alias("n"))
-    ranked = met.join(norms, "name").join(sizes, "said").crossJoin(F.broadcast(total)).withColumn(
+    ranked = met.join(sizes, "said").crossJoin(F.broadcast(total)).withColumn(
         "score", F.col("dot") / (F.col("name_norm") * F.sqrt(F.col("mass") + (F.col("n") - F.col("used")) * rarest * rarest / 4))
     ).filter((F.col("score") >= ACCEPT) & (F.col("n_words") - F.col("held") <= F.col("n") - F.col("used")))  # a word of the name is missing only where a strange one stands for it
     led = ranked.join(read, "said").join(entries, ["name", "effect"])
