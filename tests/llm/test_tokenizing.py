@@ -1,4 +1,3 @@
-import base64
 from pathlib import Path
 
 import pytest
@@ -48,13 +47,6 @@ def test_round_trip_when_words_are_forgotten(spark, known, monkeypatch):
         assert b"".join(back[i] for i in r.ids).decode() == texts[r.doc_id]
 
 
-def test_large_vocabularies_are_refused(tmp_path, monkeypatch):
-    (tmp_path / "v").write_bytes(base64.b64encode(b"a") + b" 0\n")
-    monkeypatch.setattr(T, "VOCABULARY_BYTES", 3)
-    with pytest.raises(ValueError):
-        T.ranks_of(str(tmp_path / "v"))
-
-
 def test_a_vocabulary_of_any_size(spark, known, monkeypatch):
     monkeypatch.setattr(T, "VOCABULARY_BYTES", 1)
     df = spark.createDataFrame([(1, "Read from each executor's disk."), (2, None)], "doc_id bigint, text string")
