@@ -83,3 +83,12 @@ def test_stream_of_plans_hits_within_the_lifetime(spark, tmp_path):
     spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
     got = {r.request_id: r.match for r in drain(spark, live.serve(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))), "served_plans")}
     assert got == {1: "miss", 2: "exact", 3: "miss", 4: "miss"}
+
+
+def test_only_admitted_plans_are_kept(spark, tmp_path):
+    t = datetime(2024, 1, 1)
+    rows = [("a", 1, t, False), ("a", 2, t + timedelta(seconds=1), None), ("a", 3, t + timedelta(seconds=2), True), ("a", 4, t + timedelta(seconds=3), False), ("b", 5, t, False), ("", 6, t, True)]
+    schema = "key string, request_id bigint, at timestamp, valid boolean"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    got = {r.request_id: r.match for r in drain(spark, live.serve(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), admitted="valid"), "admitted_plans")}
+    assert got == {1: "miss", 2: "miss", 3: "miss", 4: "exact", 5: "miss"}
