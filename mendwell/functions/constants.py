@@ -40,40 +40,68 @@ WORDINGS = (
 MODELS = r"(?i)\b(?:techcorp|nexa|galaxy|samsung|fold|flip|ultra|plus|pro|lite|tab(?:let)?|smart ?phone|phone|device|mobile|[a-z]\d{1,3}[a-z]?g?)\b"
 NOISE = r"(?i)\b(?:my|the|a|an|i|i'?m|im|on|of|to|in|is|are|it|its|this|that|and|or|so|but|please|help|hi|hello|thanks?)\b"
 GENERIC = (
-    "went going goes keeps kept completely totally really very suddenly randomly constantly always never still just now "
-    "cannot cant can wont want does doesnt didnt isnt arent been being have has had get gets got getting "
-    "something anything nothing everything sometimes even much when while after before with without from into than "
-    "about over there their then they them what which any all out off for but not one seems seem like "
-    "try tried trying able unable problem issue help"
-).split()
+    "went", "going", "goes", "keeps", "kept", "completely", "totally", "really", "very", "suddenly", "randomly",
+    "constantly", "always", "never", "still", "just", "now", "cannot", "cant", "can", "wont", "want", "does",
+    "doesnt", "didnt", "isnt", "arent", "been", "being", "have", "has", "had", "get", "gets", "got", "getting",
+    "something", "anything", "nothing", "everything", "sometimes", "even", "much", "when", "while", "after",
+    "before", "with", "without", "from", "into", "than", "about", "over", "there", "their", "then", "they",
+    "them", "what", "which", "any", "all", "out", "off", "for", "but", "not", "one", "seems", "seem", "like",
+    "try", "tried", "trying", "able", "unable", "problem", "issue", "help",
+)
 
 # --- variations of a complaint
 TYPOS = (("screen", "scren"), ("display", "dispaly"), ("battery", "bettery"), ("phone", "phne"), ("settings", "setings"), ("black", "blak"), ("touch", "tuch"), ("flicker", "flikker"), ("charging", "chargin"))
 OPENS_WITH_VERB = r"(?i)^(?:is|are|was|were|has|have|goes|go|keeps?|stays?|turns?|shows?|flickers?|drains?|freezes?|crashes?|stops?|won'?t|doesn'?t|does|can'?t|cannot|fails?|displays?|responds?)\b"
-KEYWORD_STOPS = "my the a an and or to of in on is are it its i so that this when with for but then after before".split()
+KEYWORD_STOPS = (
+    "my", "the", "a", "an", "and", "or", "to", "of", "in", "on", "is", "are", "it", "its", "i", "so", "that",
+    "this", "when", "with", "for", "but", "then", "after", "before",
+)
 OWN_DEVICE = r"(?i)\bmy\s+(?:techcorp\s+)?(?:nexa\s+)?(?:[a-z]\d{1,3}[a-z]?g?\s+)?(?:fold\s+)?(?:smart ?phone|phone|tablet|device|screen)\b"
+# what stands before the complaint, before it if it opens with no verb, and behind it
+PARAPHRASES = (
+    ("The device is experiencing ", "", "."),
+    ("My phone ", "has ", "."),
+    ("Why does my phone ", "have ", "?"),
+    ("How do I fix ", "", " on my phone?"),
+    ("This is so annoying - ", "", " and nothing I try works."),
+    ("Hey so my phone ", "keeps having ", ", any ideas?"),
+    ("Ever since yesterday my phone ", "has ", "."),
+)
+SPARES = (("Need help with ", "."), ("", " - what should I do?"), ("Device issue: ", "."), ("Phone problem - ", "."))
 VARIATIONS = (8, 10)
 
 # --- titles, action names, descriptions, topics
 STOPWORDS = (
-    "a an the on in at of for to and or your my with from is are was were this that it its "
-    "does do did not no some things thing first use using when while how what you smartphone tablet "
-    "phone device mobile issues issue problem problems nexa techcorp galaxy fold flip ultra plus pro lite "
-    "went goes going gone keeps kept completely totally suddenly randomly constantly really very so just still "
-    "can cant cannot wont doesn didn isn see seeing anything nothing something everything interact trying try "
-    "then than also now after before because but if again i me we am be been have has had get"
-).split()
+    "a", "an", "the", "on", "in", "at", "of", "for", "to", "and", "or", "your", "my", "with", "from", "is", "are",
+    "was", "were", "this", "that", "it", "its", "does", "do", "did", "not", "no", "some", "things", "thing",
+    "first", "use", "using", "when", "while", "how", "what", "you", "smartphone", "tablet", "phone", "device",
+    "mobile", "issues", "issue", "problem", "problems", "nexa", "techcorp", "galaxy", "fold", "flip", "ultra",
+    "plus", "pro", "lite", "went", "goes", "going", "gone", "keeps", "kept", "completely", "totally", "suddenly",
+    "randomly", "constantly", "really", "very", "so", "just", "still", "can", "cant", "cannot", "wont", "doesn",
+    "didn", "isn", "see", "seeing", "anything", "nothing", "something", "everything", "interact", "trying", "try",
+    "then", "than", "also", "now", "after", "before", "because", "but", "if", "again", "i", "me", "we", "am",
+    "be", "been", "have", "has", "had", "get",
+)
 MODEL_CODE = r"(?i)^(?:[a-z]\d{1,3}[a-z]?|\d+)$"
-BRANDS = "techcorp nexa samsung galaxy fold flip ultra plus pro lite tab tablet smartphone phone device mobile".split()
-MINOR = "a an the and or of to in on for with at by".split()
+BRANDS = (
+    "techcorp", "nexa", "samsung", "galaxy", "fold", "flip", "ultra", "plus", "pro", "lite", "tab", "tablet",
+    "smartphone", "phone", "device", "mobile",
+)
+MINOR = (
+    "a", "an", "the", "and", "or", "of", "to", "in", "on", "for", "with", "at", "by",
+)
 PROPER = {"wi-fi": "Wi-Fi", "wifi": "Wi-Fi", "bluetooth": "Bluetooth", "nfc": "NFC", "gps": "GPS", "sim": "SIM", "usb": "USB", "led": "LED", "ldi": "LDI", "techcorp": "TechCorp", "nexa": "Nexa", "android": "Android", "gmail": "Gmail", "dex": "DeX", "qr": "QR"}
-FUNCTION_WORDS = "the a an to for on in of with your this from off up out at".split()
+FUNCTION_WORDS = (
+    "the", "a", "an", "to", "for", "on", "in", "of", "with", "your", "this", "from", "off", "up", "out", "at",
+)
 LEAD_VERBS = (
-    "check charge attempt force verify review clear use open select remove restart reboot adjust enable disable "
-    "test transfer create mirror access disconnect connect troubleshoot configure set reset update install uninstall "
-    "turn switch change confirm inspect examine clean replace contact visit try perform run start stop delete backup "
-    "restore scan close exit hold press tap swipe navigate"
-).split()
+    "check", "charge", "attempt", "force", "verify", "review", "clear", "use", "open", "select", "remove",
+    "restart", "reboot", "adjust", "enable", "disable", "test", "transfer", "create", "mirror", "access",
+    "disconnect", "connect", "troubleshoot", "configure", "set", "reset", "update", "install", "uninstall",
+    "turn", "switch", "change", "confirm", "inspect", "examine", "clean", "replace", "contact", "visit", "try",
+    "perform", "run", "start", "stop", "delete", "backup", "restore", "scan", "close", "exit", "hold", "press",
+    "tap", "swipe", "navigate",
+)
 GOAL = r"^Follow these steps to perform this .+ (Troubleshooting|Configuration)$"
 GENERIC_TITLE = r"(?i)^(some things|things to check|before you (?:begin|start)|overview|introduction|getting started)"
 
@@ -107,9 +135,17 @@ CATEGORY_ORDER = {"auto": 0, "manual": 1, "critical": 2}
 
 # --- retrieval
 K1, B, ALPHA, BUCKETS, GRAMS, WIDEN = 1.5, 0.75, 0.6, 512, (3, 4), 40
-SEARCH_STOPS = "the a an of to in on for and or your you is are it its this that with from at by be will can page screen device settings setting opens open".split()
+SEARCH_STOPS = (
+    "the", "a", "an", "of", "to", "in", "on", "for", "and", "or", "your", "you", "is", "are", "it", "its", "this",
+    "that", "with", "from", "at", "by", "be", "will", "can", "page", "screen", "device", "settings", "setting",
+    "opens", "open",
+)
 FRAGMENT = r"(?i)^(?:and|or|to|into|from|next|then|with|for|the|a|an|at|of|on|in)\b"
-GENERIC_CONTROLS = "add edit remove next done ok okay close cancel back start stop input minus plus more menu x yes no delete save apply select confirm continue finish".split()
+GENERIC_CONTROLS = (
+    "add", "edit", "remove", "next", "done", "ok", "okay", "close", "cancel", "back", "start", "stop", "input",
+    "minus", "plus", "more", "menu", "x", "yes", "no", "delete", "save", "apply", "select", "confirm", "continue",
+    "finish",
+)
 NAME_VERBS = r"(?i)^(?:(?:view|open|enable|disable|adjust|update|switch|set|turn|check|go|see|tap|change|choose)\s+){0,4}"
 COVERAGE, DENSE, MESSAGE = 0.55, 0.33, 0.6
 WANTED, OPENED, OPPOSED = 0.12, 0.04, -0.08

@@ -117,23 +117,13 @@ def variations(source: str, out: str = "variations") -> list[Stage]:
     verb = lambda d: d.matches(s, C.OPENS_WITH_VERB)
 
     def templates(d: Spark) -> str:
-        either = lambda a, b, c, end: d.concat(d.lit(a), f"CASE WHEN {verb(d)} THEN {s} ELSE {d.concat(d.lit(b), s)} END", d.lit(end))
-        around = lambda a, b: d.concat(d.lit(a), s, d.lit(b))
-        return d.array(
-            f"CASE WHEN {d.matches(base, r'\.$')} THEN {base} ELSE {d.concat(base, d.lit('.'))} END",
-            around("The device is experiencing ", "."),
-            either("My phone ", "has ", "", "."),
-            either("Why does my phone ", "have ", "", "?"),
-            around("How do I fix ", " on my phone?"),
-            f"{out}_keywords",
-            around("This is so annoying - ", " and nothing I try works."),
-            either("Hey so my phone ", "keeps having ", "", ", any ideas?"),
-            f"{out}_typo",
-            either("Ever since yesterday my phone ", "has ", "", "."),
-        )
+        before = lambda none: f"CASE WHEN {verb(d)} THEN {s} ELSE {d.concat(d.lit(none), s)} END" if none else s
+        said = [d.concat(d.lit(start), before(none), d.lit(end)) for start, none, end in C.PARAPHRASES]
+        own = f"CASE WHEN {d.matches(base, r'\.$')} THEN {base} ELSE {d.concat(base, d.lit('.'))} END"
+        return d.array(own, *said[:4], f"{out}_keywords", *said[4:6], f"{out}_typo", *said[6:])
 
     def spares(d: Spark) -> str:
-        return d.array(d.concat(d.lit("Need help with "), s, d.lit(".")), d.concat(cap(d, s), d.lit(" - what should I do?")), d.concat(d.lit("Device issue: "), s, d.lit(".")), d.concat(d.lit("Phone problem - "), s, d.lit(".")))
+        return d.array(*(d.concat(d.lit(start), s, d.lit(end)) if start else d.concat(cap(d, s), d.lit(end)) for start, end in C.SPARES))
 
     low, high = C.VARIATIONS
     tidy = lambda d, xs: d.keep(d.each(xs, lambda e: squeeze(d, e)), lambda e: f"length({e}) >= 8")
