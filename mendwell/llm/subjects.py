@@ -55,6 +55,8 @@ DOUBT = 2.0
 SENT_ROWS = 1_000_000
 #: Words whose hashes a worker remembers; it forgets them beyond, which costs time only.
 WORDS = 1_000_000
+#: Texts that a worker reads at once.
+TEXTS = 1_000
 
 _TAG = re.compile(r"<[/!]?[A-Za-z][^<>]*>")
 _WRAPPED = re.compile(r"\n\s*>?\s*(?=[a-z])(?!\w+:\s)")
@@ -122,7 +124,7 @@ def passages(docs: DataFrame, key: str, text: str, *more: str) -> DataFrame:
         known: dict[str, int] = {}
         hashes: list[int] = []  # a word, 0 for what is none
         ends: list[bool] = []
-        for batch in batches:
+        for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
             texts = batch.column(1).to_pylist()
             if len(known) > WORDS:
                 known.clear(), hashes.clear(), ends.clear()
