@@ -78,6 +78,37 @@ def test_rates_tell_languages_by_words_no_list_has(spark):
     assert P.language("Kelvup brulvo", rates) is None and P.language("tray", rates) is None
 
 
+def test_few_texts_among_many_teach_their_words(spark):
+    """Three texts of a language among 20,000 are all that tells its words: every text counts, not a sample of them."""
+    taught = {
+        "Lade, Klappe, Stahl.": ["die Lade ist unter der Klappe und nicht aus Stahl.", "die Lade und die Klappe sind nicht aus Stahl.", "der Stahl ist in der Lade und nicht an der Klappe."],
+        "tiroir, coque, fente.": ["le tiroir est sous la coque et dans une fente.", "le tiroir et la coque ne sont pas dans une fente.", "une fente est sur le tiroir et sur la coque."],
+        "bandeja, tapa, acero.": ["la bandeja es de acero y no se ve en la tapa.", "el acero de la bandeja no es el de la tapa y se ve.", "en la tapa no hay acero y en la bandeja se ve."],
+    }
+    rows = [(i, f"Kelvup {i} brulvo", f"Brulvo {i} kelvup.") for i in range(10_000)] + [(10_000 + i, "Kelvup", x) for i, x in enumerate(sum(taught.values(), []))]
+    rows += [(20_000 + i, Q, x) for i, x in enumerate([*taught, "Brulvo, kelvup."])]
+    df = spark.createDataFrame(rows, "siis_id bigint, original_query string, content string")
+    assert sorted(tuple(r) for r in P.defects(df, "siis_id", "original_query", "content").collect()) == [(20_000 + i, "wrong_language") for i in range(3)]
+
+
+def test_joined_rates_are_the_rates_of_all_texts(spark, monkeypatch):
+    """Words joined by a shuffle or sent out tell each pair as the plain functions do."""
+    import random
+
+    rng = random.Random(5)
+    own = {lang: [f"{lang}{chr(97 + i)}vo" for i in range(12)] for lang in P.FUNCTION_WORDS}
+    said = lambda: " ".join(rng.choices(own[x] + rng.choice([own[rng.choice(list(own))], list(P.FUNCTION_WORDS[x])]), k=rng.randrange(1, 9))) if (x := rng.choice(list(own))) else ""
+    rows = [(i % 250, said(), said() + ".") for i in range(300)] + [(900, " ", "the tray is of steel."), (901, Q, None)]
+    rates = P.fit([t for _, q, a in rows for t in (q, a) if t])
+    told = [(i, P.language(q, rates), P.language(a, rates)) for i, q, a in rows if a and q.strip() and P.read(q, a)[0] is None]
+    want = sorted(i for i, q, a in told if q and a and q != a)
+    assert 20 < len(want) < len(told) - 20
+    for most in (0, P.SENT_WORDS):
+        monkeypatch.setattr(P, "SENT_WORDS", most)
+        df = spark.createDataFrame(rows, "siis_id bigint, original_query string, content string")
+        assert sorted(r.siis_id for r in P.defects(df, "siis_id", "original_query", "content").filter("defect = 'wrong_language'").collect()) == want
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "siis_id bigint, original_query string, content string")
     assert P.defects(df, "siis_id", "original_query", "content").count() == 0
