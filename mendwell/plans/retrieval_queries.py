@@ -97,8 +97,8 @@ def avg_doc_len(spark, sf_dir):
 
 def bm25_topk(spark, sf_dir):
     """The five best documents for each held-out passage."""
-    hits = R.bm25(table(spark, sf_dir, "benchmark"), "item_id", table(spark, sf_dir, "documents"), "doc_id")
-    return R.best(hits, "item_id", "doc_id", "bm25", 5).select("item_id", "doc_id", R.rounded(F.col("bm25")).alias("bm25"), R.rounded(F.col("coverage")).alias("coverage"), F.col("rank").cast("bigint").alias("rank"))
+    hits = R.bm25_best(table(spark, sf_dir, "benchmark"), "item_id", spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", 5)
+    return hits.select("item_id", "doc_id", R.rounded(F.col("bm25")).alias("bm25"), R.rounded(F.col("coverage")).alias("coverage"), F.col("rank").cast("bigint").alias("rank"))
 
 
 def _shown(df):
