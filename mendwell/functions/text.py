@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import cache
+
 from . import constants as C
 from .dialect import Spark, Stage
 
@@ -74,6 +77,30 @@ def canonical(source: str, out: str = "canonical_key") -> list[Stage]:
     ]
 
 
+@cache
+def _canonical_patterns() -> tuple:
+    """Patterns as the stages mean them: classes, edges and case of ASCII, '$' the very end, '.' no line end of any kind."""
+    own = lambda p: re.compile(p.replace(".*?", "[^\\n\\r\\u0085\\u2028\\u2029]*?"), re.ASCII)
+    pieces = lambda p: [x for x in re.split(r"\(\?i\)|\\b|\(\?:[^()]*\)\??|[^()]\?|[()?|]", p) if re.fullmatch(r"[a-z' ]+", x)]
+    alternatives = lambda p: re.search(r"\(\?:[^()]*\(", p)
+    wordings = [(max(pieces(p[: alternatives(p).start()] if alternatives(p) else p), key=len, default=""), own(p), to) for p, to in C.WORDINGS]
+    return own("[\u00a0\ufeff\u2028\u2029]"), [own(p) for p in C.WEB], re.compile(r"[\[(<]|://|\.[^ \t\n\x0b\f\r]"), own(r"\s{2,}"), own(r"\s+([.,;:!?])"), wordings, own(C.MODELS), own(C.NOISE), own(r"[^a-z0-9\s]")
+
+
+def canonical_of(text: str | None) -> str:
+    """The key that canonical() gives a text, for Arrow batches: its patterns take a tenth of the time here, where most are passed by for lack of a fixed part."""
+    spaces_, web, may_be_web, runs, before_stop, wordings, models, noise, other = _canonical_patterns()
+    x = spaces_.sub(" ", text or "")
+    if may_be_web.search(x):
+        for p in web:
+            x = p.sub("", x)
+    x = before_stop.sub(r"\1", runs.sub(" ", x)).strip(" \t\n\x0b\f\r").lower()
+    for part, p, to in wordings:
+        if part in x:
+            x = p.sub(to, x)
+    return " ".join(sorted({e for e in other.sub(" ", noise.sub(" ", models.sub(" ", x))).split() if len(e) > 2}))
+
+
 def content_tokens(key: str, out: str = "content_tokens") -> list[Stage]:
     return [(out, lambda d: d.keep(d.split(key, " "), lambda e: f"{e} <> '' AND NOT {d.among(e, C.GENERIC)}"))]
 

@@ -22,7 +22,7 @@ def _complaints(spark, sf_dir):
 
 
 def _keys(spark, sf_dir):
-    return P.frame(_complaints(spark, sf_dir).select("query"), T.canonical("query")).select(F.col("canonical_key").alias("key")).filter("key <> ''").distinct()
+    return P.keyed(_complaints(spark, sf_dir).select("query"), "query", "key").select("key").filter("key <> ''").distinct()
 
 
 def cache_entries(spark, sf_dir):
