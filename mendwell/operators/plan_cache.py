@@ -48,8 +48,8 @@ def entries(records: DataFrame) -> DataFrame:
 def paraphrase_index(records: DataFrame) -> DataFrame:
     """(vkey, key): canonical paraphrases of kept records; the last writer of a paraphrase wins."""
     said = records.filter("cache_key IS NOT NULL AND cache_key <> ''").select("cache_id", "stored_at", F.col("cache_key").alias("key"), F.posexplode("query_variations").alias("pos", "said"))
-    keyed = frame(said, T.canonical("said", "vkey")).filter("vkey <> '' AND vkey <> key")
-    return keyed.groupBy("vkey").agg(F.max_by("key", F.struct("stored_at", "cache_id", "pos")).alias("key"))
+    told = keyed(said, "said", "vkey").filter("vkey <> '' AND vkey <> key")
+    return told.groupBy("vkey").agg(F.max_by("key", F.struct("stored_at", "cache_id", "pos")).alias("key"))
 
 
 def live(kept: DataFrame, now, lifetime_s: int = C.LIFETIME_S) -> DataFrame:
@@ -183,8 +183,8 @@ def fuzzy(keys: DataFrame, kept: DataFrame) -> DataFrame:
     The kept keys' token sets go to the keys asked, in passes of bounded size; nothing is shuffled but what is found.
     """
     told = lambda df: frame(spread(df), T.content_tokens("key", "content")).withColumn("tokens", F.array_distinct("content")).drop("content")
-    asked = cut(told(keys.select("key").distinct()).filter(F.size("tokens") >= 2))
-    held = cut(told(kept.select("key", "seq")).filter(F.size("tokens") >= 1).withColumn("id", F.monotonically_increasing_id()))  # numbers that stay, once they are written
+    asked = cut(told(cut(keys.select("key").distinct())).filter(F.size("tokens") >= 2))
+    held = cut(told(cut(kept.select("key", "seq"))).filter(F.size("tokens") >= 1).withColumn("id", F.monotonically_increasing_id()))  # numbers that stay, once they are written
     passes = max(1, -(-held.count() // PASS_KEYS))
 
     def met(n: int) -> DataFrame:
@@ -218,7 +218,7 @@ def lookup(complaints: DataFrame, records: DataFrame, key: str = "complaint_id",
     an answer, then the similar keys of what is left. A complaint that was sent a million times is looked up once.
     """
     kept, index = cut(entries(records)), cut(paraphrase_index(spread(records)))
-    asked = cut(frame(complaints.select(key, F.col(text).alias("text")), T.canonical("text", "key")).select(key, "text", "key").filter("key <> ''"))
+    asked = cut(keyed(complaints.select(key, F.col(text).alias("text")), "text", "key").filter("key <> ''"))
     in_kept = lambda df: df.join(kept.select(F.col("key").alias("kept_key")), "kept_key")
     stored = index.withColumnRenamed("key", "kept_key")
     keys = asked.select("key").distinct()
@@ -227,8 +227,8 @@ def lookup(complaints: DataFrame, records: DataFrame, key: str = "complaint_id",
     by_key = cut(exact.unionByName(by_name).groupBy("key").agg(F.min(F.struct("step", "kept_key")).alias("hit")).select("key", "hit.*"))
     # paraphrases of the texts that have no answer yet; outer: else the optimiser asks for the array's size below, with its whole expression over and over
     texts = cut(spread(asked.select("text", "key").distinct().join(by_key, "key", "left_anti")))
-    varied = cut(frame(texts.select("text"), [*T.canonical("text"), *T.variations("text")]).select("text", "variations"))
-    said = cut(frame(varied.select("text", F.posexplode_outer("variations").alias("pos", "said")), T.canonical("said", "vkey")).select("text", "pos", "vkey"))
+    varied = cut(frame(texts.select("text"), T.variations("text")).select("text", "variations"))
+    said = cut(keyed(varied.select("text", F.posexplode_outer("variations").alias("pos", "said")), "said", "vkey").select("text", "pos", "vkey"))
     own = said.join(kept.select(F.col("key").alias("vkey")), "vkey").select("text", (F.col("pos") * 2).alias("pos"), F.col("vkey").alias("kept_key"))
     own_stored = in_kept(said.join(stored, "vkey")).select("text", (F.col("pos") * 2 + 1).alias("pos"), "kept_key")
     by_text = cut(own.unionByName(own_stored).groupBy("text").agg(F.min(F.struct("pos", "kept_key")).alias("hit")).select("text", F.lit(3).alias("step"), "hit.kept_key"))
